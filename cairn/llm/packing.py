@@ -37,17 +37,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, end_id: int = 0, capacity: i
         uid = TaskContext.get().partitionId() << 33
         for pdf in batches:
             rows = []
-            missing = pdf["doc_id"].isna().tolist()
-            for doc, none, ids in zip(pdf["doc_id"].tolist(), missing, enc.encode_all(pdf["text"].tolist()), strict=True):
+            for doc, none, ids in zip(pdf["doc_id"].tolist(), pdf["no_id"].tolist(), enc.encode_all(pdf["text"].tolist()), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
-                    rows.append((uid, None if none else int(doc), k, at, len(part), zlib.crc32(part.tobytes())))
+                    rows.append((uid, None if none else doc, k, at, len(part), zlib.crc32(part.tobytes())))
                     uid += 1
             out = pd.DataFrame(rows, columns=["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
             yield out.astype({"doc_id": "Int64"})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    doc = F.col("doc_id").cast("long")
+    rows = docs.select(F.coalesce(doc, F.lit(0)).alias("doc_id"), doc.isNull().alias("no_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(cut, "uid long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.llm.decontaminate import decontamination_query
 from cairn.llm.packing import packing_query
 from cairn.llm.token_store import token_store_query
+from cairn.llm.warc import WARC_SQL, warc_query
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": token_store_query,
+        "op4_decontamination": decontamination_query,
+        "op5_warc": warc_query,
         "op10_packing": packing_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": WARC_SQL}

@@ -71,10 +71,9 @@ def write_store(
             if out is None:
                 out = AtomicFile(folder, "shard", ".ids")
                 out.write(struct.pack(HEADER, MAGIC, width, end_id))
-            missing = pdf["key"].isna().to_numpy()
-            keys = pdf["key"].fillna(0).astype("int64").to_numpy()
+            missing, keys = pdf["no_key"].to_numpy(), pdf["key"].to_numpy()
             occurrence, n = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-            for i, ids in enumerate(enc.encode_all([None if x is None else x for x in pdf["text"]])):
+            for i, ids in enumerate(enc.encode_all(pdf["text"].tolist())):
                 this = (bool(missing[i]), int(keys[i]))
                 seen = seen + 1 if this == last else 0
                 occurrence[i], last, n[i] = seen, this, len(ids) + 1
@@ -101,6 +100,7 @@ def write_store(
         docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
         .repartitionByRange(F.col("key").asc_nulls_first())
         .sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
+        .select(F.coalesce("key", F.lit(0)).alias("key"), F.col("key").isNull().alias("no_key"), "text")
         .mapInPandas(write, "key long, occurrence long, hash long, shard string, start long, n long"),
         "entries",
     )
