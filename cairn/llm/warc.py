@@ -213,7 +213,7 @@ def captures(records: DataFrame) -> DataFrame:
     main = records.filter(F.col("kind").isin("response", "revisit")).select(
         F.col("record_id").alias("capture_id"), F.struct("kind", "uri", "refers_to", "digest", "body", "body_bytes", "body_sha1").alias("capture")
     )
-    return main.join(by_capture, "capture_id", "left")
+    return main.join(by_capture.hint("merge"), "capture_id", "left")
 
 
 @F.pandas_udf(T.LongType())
