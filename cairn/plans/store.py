@@ -1,0 +1,120 @@
+"""Packing a tree of entries into an archive and back: the write path, verification, extraction and repair."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.functions import chunking, codecs
+from cairn.operators import frontier, lattice
+from cairn.sources import archive, files
+
+
+def _planned(measured: DataFrame, order: list[str], max_size: int | None, max_decode: int | None) -> DataFrame:
+    """Chosen (block_hash, cand_idx): skyline per block, then the global plan over collected metadata (no payloads)."""
+    cols = ["stored_size", "encode_ns", "decode_ns"]
+    kept = frontier.pareto(measured.drop("payload"), "block_hash", cols, ["block_hash", "cand_idx", "name", "level", "raw_size", *cols])
+    by_block: dict[str, list] = {h: [] for h in order}
+    for r in kept.collect():
+        by_block[r.block_hash].append((r.stored_size, r.decode_ns, r.encode_ns, r.name, -1 if r.level is None else r.level, r.cand_idx, r.raw_size))
+    options = [sorted(by_block[h]) for h in order]
+    plan = frontier.global_plan([[(o[0], o[2], o[1]) for o in b] for b in options], [b[0][6] for b in options], max_size, max_decode)
+    rows = [(h, b[k][5]) for h, b, k in zip(order, options, plan["selection"], strict=True)]
+    return measured.sparkSession.createDataFrame(rows, "block_hash string, cand_idx int")
+
+
+def pack(entries: DataFrame, output: str, scratch: str, *, profile: str = "resilient", max_size: int | None = None, max_decode: int | None = None, repair_percent: float = 5.0, comment: str = "", sizes: tuple[int, int, int] = (chunking.MIN_SIZE, chunking.TARGET_SIZE, chunking.MAX_SIZE)) -> dict:
+    """Write an archive of (path, content, mode, mtime_ns) entries; measurements are written to scratch before planning."""
+    spark = entries.sparkSession
+    refs = chunking.refs(chunking.chunk(entries, least=sizes[0], target=sizes[1], most=sizes[2]))
+    refs.write.mode("overwrite").parquet(f"{scratch}/refs")
+    refs = spark.read.parquet(f"{scratch}/refs")
+    blocks = refs.groupBy("block_hash").agg(F.any_value("raw").alias("raw"), F.min(F.struct("path", "seq")).alias("first"))
+    adaptive = profile in ("adaptive", "resilient")
+    codecs.candidates(blocks, "adaptive" if adaptive else profile).write.mode("overwrite").parquet(f"{scratch}/candidates")
+    measured = spark.read.parquet(f"{scratch}/candidates")
+    order = [r.block_hash for r in blocks.select("block_hash", "first").orderBy("first" if profile == "resilient" else "block_hash").collect()]
+    if adaptive:
+        chosen = _planned(measured, order, max_size, max_decode)
+    else:
+        won = codecs.choose(measured)
+        same = measured.join(won, ["block_hash", "codec", "stored_size"]).groupBy("block_hash").agg(F.min("cand_idx").alias("cand_idx"))
+        chosen = same
+    primary = measured.join(chosen, ["block_hash", "cand_idx"]).select(F.col("block_hash").alias("record_hash"), "codec", "raw_size", "payload")
+    records, edges = primary, []
+    if profile == "resilient":
+        stored = primary.select(F.col("record_hash").alias("block_hash"), F.length("payload").alias("stored"), "raw_size")
+        grouped = lattice.size_groups(stored, "raw_size", "block_hash")
+        raw = blocks.select("block_hash", "raw")
+        met = lattice.pairs(grouped, "block_hash", "raw_size")
+        for side in "ab":
+            met = met.join(raw.select(F.col("block_hash").alias(side), F.col("raw").alias(f"raw_{side}")), side)
+        lattice.deltas(met).drop("raw_a", "raw_b").write.mode("overwrite").parquet(f"{scratch}/deltas")
+        found = spark.read.parquet(f"{scratch}/deltas")
+        costs = found.select("group_id", "a", "b", "cost")
+        budgets = lattice.group_budget(costs, grouped.select("group_id", "stored"), lattice.mst(costs), repair_percent)
+        kept = found.join(lattice.plan(costs, budgets).drop("cost"), ["group_id", "a", "b"])
+        kept.write.mode("overwrite").parquet(f"{scratch}/edges")
+        kept = spark.read.parquet(f"{scratch}/edges")
+        edges = [r.asDict() for r in kept.select("a", "b", F.col("repair_hash").alias("repair"), F.length("delta").alias("delta_size"), F.length("payload").alias("stored_size")).orderBy("a", "b").collect()]
+        repair = kept.select(F.col("repair_hash").alias("record_hash"), F.lit(codecs.ZLIB).alias("codec"), F.length("delta").alias("raw_size"), "payload").dropDuplicates(["record_hash"])
+        records = primary.unionByName(repair.join(primary.select("record_hash"), "record_hash", "left_anti"))
+    hashes = refs.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "block_hash"))).alias("b"))
+    listed = entries.select("path", "mode", "mtime_ns", F.length("content").alias("size"), F.sha2("content", 256).alias("sha256")).join(hashes, "path", "left").orderBy("path")
+    rows = [{"path": r.path, "size": r.size, "sha256": r.sha256, "mode": r.mode, "mtime_ns": r.mtime_ns, "blocks": [x.block_hash for x in r.b or []]} for r in listed.toLocalIterator()]
+    block_sizes = {r.record_hash: r.raw_size for r in primary.select("record_hash", "raw_size").collect()}
+    manifest = {"comment": comment, "files": rows, "block_sizes": block_sizes, "repair_edges": edges, "unique_blocks": len(block_sizes)}
+    archive.write_archive(records, manifest, output, version=3 if profile == "resilient" else 2)
+    return {"ok": True, "entries": len(rows), "unique_blocks": len(block_sizes), "repair_edges": len(edges)}
+
+
+def _open(spark: SparkSession, path: str) -> tuple[dict, DataFrame, DataFrame, DataFrame]:
+    _, manifest, _ = archive.read_manifest(path)
+    records = archive.read_records(spark, path)
+    sizes = spark.createDataFrame(list(manifest["block_sizes"].items()), "block_hash string, size int")
+    return manifest, records, sizes, archive.recovered_blocks(records, archive.edges_of(spark, manifest), sizes)
+
+
+def verify(spark: SparkSession, path: str) -> dict:
+    """healthy, degraded or (an error) unrecoverable."""
+    manifest, records, sizes, blocks = _open(spark, path)
+    bad = records.filter("status <> 'ok'").count()
+    have = {r["round"]: r["n"] for r in blocks.groupBy("round").agg(F.count("*").alias("n")).collect()}
+    if sum(have.values()) < sizes.count():
+        raise archive.ArchiveError("blocks are lost and can't be recovered")
+    return {"ok": True, "healthy": bad == 0, "degraded": bad > 0, "damaged_records": bad, "recovered_blocks": sum(n for k, n in have.items() if k)}
+
+
+def contents(spark: SparkSession, path: str) -> DataFrame:
+    """Entries (path, content, mode, mtime_ns) with their hashes checked."""
+    manifest, _, _, blocks = _open(spark, path)
+    rows = [(f["path"], f["mode"], f.get("mtime_ns"), f["sha256"], f["blocks"]) for f in manifest["files"]]
+    listed = spark.createDataFrame(rows, "path string, mode int, mtime_ns long, sha256 string, blocks array<string>")
+    refs = listed.select("path", F.posexplode("blocks").alias("seq", "block_hash")).join(blocks.select("block_hash", "raw"), "block_hash", "left")
+    whole = refs.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "raw"))).alias("c"))
+    joined = F.coalesce(F.aggregate("c", F.lit(b""), lambda a, x: F.concat(a, x["raw"])), F.lit(b""))
+    out = listed.drop("blocks").join(whole, "path", "left").withColumn("content", joined)
+    checked = F.when(F.sha2("content", 256) == F.col("sha256"), F.col("content")).otherwise(F.raise_error(F.concat(F.lit("entry differs: "), F.col("path"))).cast("binary"))
+    return out.select("path", checked.alias("content"), "mode", "mtime_ns")
+
+
+def unpack(spark: SparkSession, path: str, destination: str, *, overwrite: bool = False) -> int:
+    return files.extract(contents(spark, path), destination, overwrite=overwrite).count()
+
+
+def repair(spark: SparkSession, path: str, output: str, scratch: str, *, repair_percent: float = 5.0) -> dict:
+    """A new archive from the recovered entries; the comment isn't carried over."""
+    if path == output:
+        raise archive.ArchiveError("the repaired archive needs another name")
+    pack(contents(spark, path), output, scratch, repair_percent=repair_percent)
+    return verify(spark, output)
+
+
+def merged(roots: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Several sources under their names; of equal paths the later source wins."""
+    rows = [df.withColumns({"path": F.concat(F.lit(f"{name}/"), "path"), "source_ord": F.lit(k)}) for k, (name, df) in enumerate(roots)]
+    every = reduce(DataFrame.unionByName, rows)
+    best = every.groupBy("path").agg(F.max("source_ord").alias("source_ord"))
+    return every.join(best, ["path", "source_ord"]).drop("source_ord")

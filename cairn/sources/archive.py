@@ -1,0 +1,142 @@
+"""Native archive container: write and read manifest and records; verify, recover, extract and repair.
+
+Wire layout: magic (8 bytes), manifest length (u64 big endian), manifest JSON, record count (u64), then per record its
+SHA-256 (32 bytes), codec (u8), raw size (u64), stored size (u64) and payload, ordered by digest.
+"""
+
+from __future__ import annotations
+
+import json
+import os
+import struct
+from collections.abc import Iterator
+from pathlib import Path
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.functions import codecs
+from cairn.functions.scalars import is_safe_path
+
+# Fixed values of the container format.
+MAGIC_V2, MAGIC_V3 = b"QBX2\r\n\x1a\n", b"QBX3\r\n\x1a\n"
+MOST_MANIFEST, MOST_BLOCK = 64 * 1024 * 1024, 512 * 1024
+RECORD, LENGTH = ">BQQ", ">Q"
+INDEX = "record_hash string, codec int, raw_size long, stored_size long, offset long"
+
+
+class ArchiveError(ValueError):
+    """Invalid, unsafe, unsupported or corrupt archive."""
+
+
+def write_archive(records: DataFrame, manifest: dict, output: str, *, version: int = 3) -> None:
+    """Records (record_hash, codec, raw_size, payload) in hash order, streamed to a temporary file that is then renamed."""
+    body = json.dumps(manifest, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
+    if len(body) > MOST_MANIFEST:
+        raise ArchiveError("the manifest is too large")
+    path = Path(output)
+    part = path.with_name(path.name + ".part")
+    n = records.count()
+    with part.open("wb") as f:
+        f.write((MAGIC_V3 if version == 3 else MAGIC_V2) + struct.pack(LENGTH, len(body)) + body + struct.pack(LENGTH, n))
+        for r in records.orderBy("record_hash").toLocalIterator():
+            payload = bytes(r.payload)
+            f.write(bytes.fromhex(r.record_hash) + struct.pack(RECORD, r.codec, r.raw_size, len(payload)) + payload)
+        f.flush()
+        os.fsync(f.fileno())
+    part.replace(path)
+
+
+def _exact(f: object, n: int, what: str) -> bytes:
+    data = f.read(n)
+    if len(data) != n:
+        raise ArchiveError(f"the archive ends inside {what}")
+    return data
+
+
+def read_manifest(archive: str) -> tuple[int, dict, int]:
+    """(version, manifest, offset of the record count); payloads aren't touched."""
+    with open(archive, "rb") as f:
+        magic = f.read(8)
+        if magic not in (MAGIC_V2, MAGIC_V3):
+            raise ArchiveError("not an archive")
+        (n,) = struct.unpack(LENGTH, _exact(f, 8, "the manifest's length"))
+        if n > MOST_MANIFEST:
+            raise ArchiveError("the manifest is too large")
+        try:
+            return (3 if magic == MAGIC_V3 else 2), json.loads(_exact(f, n, "the manifest")), 16 + n
+        except ValueError as e:
+            raise ArchiveError(f"the manifest can't be read: {e}") from e
+
+
+def read_index(spark: SparkSession, archive: str) -> DataFrame:
+    """Headers of all records with the offsets of their payloads; payloads are skipped."""
+    _, _, at = read_manifest(archive)
+    rows, seen, size = [], set(), os.path.getsize(archive)
+    with open(archive, "rb") as f:
+        f.seek(at)
+        (n,) = struct.unpack(LENGTH, _exact(f, 8, "the record count"))
+        for _ in range(n):
+            key = _exact(f, 32, "a digest").hex()
+            codec, raw, stored = struct.unpack(RECORD, _exact(f, 17, "a record"))
+            if codec not in codecs.NAMES or not 0 < raw <= MOST_BLOCK or not 0 < stored <= 3 * MOST_BLOCK or key in seen:
+                raise ArchiveError("a record is invalid")
+            seen.add(key)
+            rows.append((key, codec, raw, stored, f.tell()))
+            f.seek(stored, 1)
+        if f.tell() != size:
+            raise ArchiveError("the archive has trailing or missing bytes")
+    return spark.createDataFrame(rows, INDEX)
+
+
+def read_records(spark: SparkSession, archive: str) -> DataFrame:
+    """Index rows with raw bytes and a status: ok, decode_error or hash_mismatch; executors read payload slices."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with open(archive, "rb") as f:
+            for pdf in batches:
+                payloads = []
+                for at, n in zip(pdf["offset"].tolist(), pdf["stored_size"].tolist(), strict=True):
+                    f.seek(at)
+                    payloads.append(f.read(n))
+                yield pdf.assign(payload=payloads)
+
+    rows = read_index(spark, archive).mapInPandas(read, INDEX + ", payload binary")
+    rows = rows.withColumn("d", codecs.decoded("codec", "payload", "raw_size")).withColumn("raw", F.col("d.raw"))
+    status = F.when(F.col("raw").isNull(), "decode_error").when(F.sha2("raw", 256) != F.col("record_hash"), "hash_mismatch").otherwise("ok")
+    return rows.withColumn("status", status).drop("d", "payload")
+
+
+def edges_of(spark: SparkSession, manifest: dict) -> DataFrame:
+    rows = [(e["a"], e["b"], e["repair"]) for e in manifest.get("repair_edges", [])]
+    return spark.createDataFrame(rows, "a string, b string, repair string")
+
+
+def recovered_blocks(records: DataFrame, edges: DataFrame, sizes: DataFrame, rounds: int = 6) -> DataFrame:
+    """Rows (block_hash, raw, round) of primary blocks that are intact or rebuilt from a delta and an intact neighbour."""
+    good = records.filter("status = 'ok'").select(F.col("record_hash").alias("block_hash"), "raw")
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "repair"))
+    delta = good.select(F.col("block_hash").alias("repair"), F.col("raw").alias("delta"))
+    usable = both.join(delta, "repair")
+    known = good.join(sizes.select("block_hash"), "block_hash", "left_semi").withColumn("round", F.lit(0))
+    for k in range(1, rounds + 1):
+        last = known.filter(F.col("round") == k - 1).select(F.col("block_hash").alias("a"), F.col("raw").alias("known"))
+        lost = sizes.join(known.select("block_hash"), "block_hash", "left_anti").select(F.col("block_hash").alias("b"), "size")
+        tried = usable.join(last, "a").join(lost, "b").withColumn("raw", F.substring(codecs.xor_delta("known", "delta"), 1, 1 << 30))
+        tried = tried.withColumn("raw", F.expr("substring(raw, 1, size)")).filter(F.sha2("raw", 256) == F.col("b"))
+        known = known.unionByName(tried.groupBy(F.col("b").alias("block_hash")).agg(F.min("raw").alias("raw")).withColumn("round", F.lit(k)))
+    return known
+
+
+def manifest_violations(entries: DataFrame) -> DataFrame:
+    """Rows (rule, path) of entries that break a rule: path, uniqueness, size or hash; empty if all is well."""
+    rules = {
+        "unsafe path": ~is_safe_path(F.col("path")),
+        "negative size": F.coalesce(F.col("size") < 0, F.lit(True)),
+        "bad hash": ~F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)),
+    }
+    broken = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))
+    out = entries.select(F.explode(broken).alias("rule"), "path")
+    twice = entries.groupBy("path").count().filter("count > 1").select(F.lit("path stands twice").alias("rule"), "path")
+    return out.unionByName(twice)
