@@ -6,6 +6,7 @@ SHA-256 (32 bytes), codec (u8), raw size (u64), stored size (u64) and payload, o
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import struct
@@ -109,24 +110,52 @@ def read_records(spark: SparkSession, archive: str) -> DataFrame:
 
 
 def edges_of(spark: SparkSession, manifest: dict) -> DataFrame:
-    rows = [(e["a"], e["b"], e["repair"]) for e in manifest.get("repair_edges", [])]
-    return spark.createDataFrame(rows, "a string, b string, repair string")
+    """Repair edges (group, a, b, repair); group is the least block of the edge's component, found in the manifest."""
+    parent: dict[str, str] = {}
 
+    def find(x: str) -> str:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
 
-def recovered_blocks(records: DataFrame, edges: DataFrame, sizes: DataFrame, rounds: int = 6) -> DataFrame:
-    """Rows (block_hash, raw, round) of primary blocks that are intact or rebuilt from a delta and an intact neighbour."""
+    edges = manifest.get("repair_edges", [])
+    for e in edges:
+        a, b = find(e["a"]), find(e["b"])
+        parent[max(a, b)] = min(a, b)
+    return spark.createDataFrame([(find(e["a"]), e["a"], e["b"], e["repair"]) for e in edges], "grp string, a string, b string, repair string")
+
+
+def recovered_blocks(records: DataFrame, edges: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows (block_hash, raw, round) of primary blocks that are intact (round 0) or rebuilt from a delta and a neighbour.
+
+    A component of the repair lattice has at most seven blocks, so each is closed in one grouped step; a rebuilt block
+    counts only if its hash is right.
+    """
     good = records.filter("status = 'ok'").select(F.col("record_hash").alias("block_hash"), "raw")
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "repair"))
-    delta = good.select(F.col("block_hash").alias("repair"), F.col("raw").alias("delta"))
-    usable = both.join(delta, "repair")
-    known = good.join(sizes.select("block_hash"), "block_hash", "left_semi").withColumn("round", F.lit(0))
-    for k in range(1, rounds + 1):
-        last = known.filter(F.col("round") == k - 1).select(F.col("block_hash").alias("a"), F.col("raw").alias("known"))
-        lost = sizes.join(known.select("block_hash"), "block_hash", "left_anti").select(F.col("block_hash").alias("b"), "size")
-        tried = usable.join(last, "a").join(lost, "b").withColumn("raw", F.substring(codecs.xor_delta("known", "delta"), 1, 1 << 30))
-        tried = tried.withColumn("raw", F.expr("substring(raw, 1, size)")).filter(F.sha2("raw", 256) == F.col("b"))
-        known = known.unionByName(tried.groupBy(F.col("b").alias("block_hash")).agg(F.min("raw").alias("raw")).withColumn("round", F.lit(k)))
-    return known
+    ends = edges.select("grp", F.explode(F.array("a", "b")).alias("block_hash")).distinct()
+    state = sizes.join(good, "block_hash", "left").join(ends, "block_hash", "left")
+    ties = edges.join(good.select(F.col("block_hash").alias("repair"), F.col("raw").alias("delta")), "repair").select(F.col("grp").alias("tie_grp"), "a", "b", "delta")
+
+    def close(key: tuple, own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        size = dict(zip(own["block_hash"], own["size"].tolist(), strict=True))
+        raw = {h: x for h, x in zip(own["block_hash"], own["raw"], strict=True) if x is not None}
+        rounds, queue = dict.fromkeys(raw, 0), list(raw)
+        near: dict[str, list] = {}
+        for a, b, delta in zip(links["a"], links["b"], links["delta"], strict=True):
+            near.setdefault(a, []).append((b, delta))
+            near.setdefault(b, []).append((a, delta))
+        for v in queue:
+            for w, delta in near.get(v, ()):
+                if w not in raw and len(raw[v]) <= len(delta):
+                    found = codecs.recover_other(raw[v], delta, size[w])
+                    if hashlib.sha256(found).hexdigest() == w:
+                        raw[w], rounds[w] = found, rounds[v] + 1
+                        queue.append(w)
+        return pd.DataFrame({"block_hash": list(raw), "raw": list(raw.values()), "round": [rounds[h] for h in raw]})
+
+    tied = state.filter("grp is not null").groupBy("grp").cogroup(ties.groupBy("tie_grp"))
+    closed = tied.applyInPandas(close, "block_hash string, raw binary, round int")
+    return state.filter("grp is null and raw is not null").select("block_hash", "raw", F.lit(0).alias("round")).unionByName(closed)
 
 
 def manifest_violations(entries: DataFrame) -> DataFrame:
