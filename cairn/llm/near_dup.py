@@ -6,7 +6,7 @@ node: each node chooses one of the minwise tokens, and with the probability that
 second one; vertices with the same token share a child. Independent trees are repeated to reach the target recall.
 
 Work in a node: every vertex is compared with a leader of the node, chosen differently in each tree, which joins large groups
-of copies at linear cost. Nodes that then still hold several components are compared exhaustively when they are small
+of copies at linear cost. Nodes that then still hold several components are compared exhaustively, on full sets, when they are small
 and branched further when they are not; vertices of one component need no further comparison. Links are confirmed on
 the full sets of hashed shingles, read again from the texts of the vertices concerned.
 
@@ -31,15 +31,15 @@ from cairn.llm.tokens import span_hashes
 
 WORDS, PERCENT = 5, 85
 #: Minwise tokens of a vertex, trees, levels that all trees have, and the deepest level.
-MINWISE, TREES, DEPTH, DEEPEST = 64, 10, 2, 24
+MINWISE, TREES, DEPTH, STEP, DEEPEST = 128, 6, 2, 2, 8
 #: Nodes of at most this many vertices are compared exhaustively.
-SMALL = 48
-#: Pairs whose estimated similarity is this far below the threshold aren't confirmed: 5 standard deviations.
-SLACK = 5 * (0.85 * 0.15 / MINWISE) ** 0.5
+SMALL = 512
+#: Pairs whose estimated similarity is this far below the threshold aren't confirmed: 4 standard deviations.
+SLACK = 4 * (0.85 * 0.15 / MINWISE) ** 0.5
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_FACTORS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+_FACTORS = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_sets(texts: list[str | None], n_words: int = WORDS) -> Iterator[np.ndarray]:
@@ -69,25 +69,29 @@ def shingle_sets(texts: list[str | None], n_words: int = WORDS) -> Iterator[np.n
 
 
 def minwise(sets: list[np.ndarray], n: int = MINWISE) -> list[bytes | None]:
-    """n minwise tokens, 32 bits each, of every set: the least values of as many hash functions; None for empty sets."""
+    """n minwise tokens, 16 bits each, of every set: the least values of as many hash functions; None for empty sets."""
     full = [i for i, x in enumerate(sets) if len(x)]
     out: list[bytes | None] = [None] * len(sets)
     if not full:
         return out
     tokens = np.concatenate([sets[i] for i in full])
     starts = np.cumsum([0] + [len(sets[i]) for i in full[:-1]])
-    least = np.zeros((len(full), n), "<u4")
+    least = np.zeros((len(full), n), "<u2")
     with np.errstate(over="ignore"):
         for k in range(n):
             x = tokens * _FACTORS[k]
             x ^= x >> np.uint64(32)
-            x *= _FACTORS[(k + 17) % 64]
-            least[:, k] = np.minimum.reduceat((x >> np.uint64(32)).astype(np.uint32), starts)
+            x *= _FACTORS[k + 128]
+            least[:, k] = _short(np.minimum.reduceat(x, starts))
     for i, row in zip(full, least, strict=True):
         out[i] = row.tobytes()
     return out
 
 
+def _short(least: np.ndarray) -> np.ndarray:
+    return (mix64(least) >> np.uint64(48)).astype(np.uint16)
+
+
 def set_key(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
@@ -149,7 +153,7 @@ def paths(vertices: DataFrame, *, percent: int, trees: int = TREES, depth: int =
 
 
 def _matrix(tokens: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(tokens), "<u4").reshape(len(tokens), -1) if len(tokens) else np.zeros((0, MINWISE), np.uint32)
+    return np.frombuffer(b"".join(tokens), "<u2").reshape(len(tokens), -1) if len(tokens) else np.zeros((0, MINWISE), np.uint16)
 
 
 def _estimated(a: str, b: str) -> F.Column:
@@ -200,9 +204,9 @@ def links(docs: DataFrame, vertices: DataFrame, *, percent: int = PERCENT, trees
     """
     least = int(np.floor((percent / 100 - SLACK) * MINWISE))
     nodes = staged(paths(vertices, percent=percent, trees=trees), "nodes")
-    several = nodes.groupBy("tree", "node").agg(F.count("*").alias("size"), F.min(F.struct("rank", "v")).alias("least")).filter("size > 1")
-    several = staged(several.select("tree", "node", "size", F.col("least.v").alias("a")), "several")
-    shared = staged(nodes.join(several.hint("merge"), ["tree", "node"]).select("tree", "node", "v", "rank", "a"), "shared")
+    several = nodes.groupBy("tree", "node").agg(F.count("*").alias("size"), F.min(F.struct("rank", "v")).alias("least"), F.max(F.struct("rank", "v")).alias("most")).filter("size > 1")
+    several = staged(several.select("tree", "node", "size", F.array("least.v", "most.v").alias("leaders")), "several")
+    shared = staged(nodes.join(several.hint("merge"), ["tree", "node"]).select("tree", "node", "v", "leaders"), "shared")
 
     tokens = vertices.select("v", "tokens")
 
@@ -213,24 +217,23 @@ def links(docs: DataFrame, vertices: DataFrame, *, percent: int = PERCENT, trees
         both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
         return staged(both.filter(_estimated("ta", "tb") >= least).select("a", "b"), "likely")
 
-    first = likely(shared.select("a", F.col("v").alias("b")))
+    first = likely(shared.select(F.explode("leaders").alias("a"), F.col("v").alias("b")))
     ends = first.select(F.col("a").alias("v")).union(first.select(F.col("b").alias("v"))).distinct()
     # Sets are needed of all vertices that share a node and may be compared later on.
     found = staged(_confirmed(first, staged(_full_sets(docs, vertices.join(ends.hint("merge"), "v", "left_semi")), "sets"), percent), "links")
     level = shared.select("tree", "node", "v")
     done: list[DataFrame] = []
     roots = staged(components(found), "roots")
-    for _ in range(DEPTH, DEEPEST + 1):
+    for _ in range(DEPTH, DEEPEST + 1, STEP):
         level, small = _residual(level, roots, tokens, percent, least)
         done.append(small)
         if level is None:
             break
-    rest = likely(_union(done)).join(first.hint("merge"), ["a", "b"], "left_anti")
-    if level is not None:  # vertices that agree in all chosen tokens and yet are no links of the leaders: compare blockwise
-        rest = rest.unionByName(likely(_block_pairs(level, tokens, least))).distinct()
-    rest = staged(rest, "rest")
-    ends = rest.select(F.col("a").alias("v")).union(rest.select(F.col("b").alias("v"))).distinct()
-    more = _confirmed(rest, staged(_full_sets(docs, vertices.join(ends.hint("merge"), "v", "left_semi")), "sets"), percent)
+    else:  # these agree in so many chosen tokens that branching doesn't part them: blocks against blocks
+        done.append(_candidates(_blocks(level, roots), tokens, least))
+    rest = staged(_union(done), "rest")
+    wanted = vertices.join(rest.select("v").distinct().hint("merge"), "v", "left_semi")
+    more = _compared(rest, staged(_full_sets(docs, wanted), "sets"), percent, least)
     return found.unionByName(more)
 
 
@@ -242,57 +245,86 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _residual(level: DataFrame, roots: DataFrame, tokens: DataFrame, percent: int, least: int) -> tuple[DataFrame | None, DataFrame]:
-    """Compare the small nodes that hold several components; branch the large ones. Returns (next level, likely pairs)."""
-    rooted = level.select("tree", "node", "v").join(roots.hint("merge"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    """Candidates in the small nodes that hold several components, and the children of the large ones."""
+    rooted = level.join(roots.hint("merge"), "v", "left").select("tree", "node", "v", F.coalesce("root", "v").alias("root"))
     mixed = rooted.groupBy("tree", "node").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    rooted = staged(
-        rooted.join(mixed.select("tree", "node", "size").hint("merge"), ["tree", "node"]).join(tokens.hint("merge"), "v"), "mixed"
-    )
-    small = rooted.filter(F.col("size") <= SMALL)
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in key_groups(batches, "node"):
-            m, v, root = _matrix(pdf["tokens"]), pdf["v"].to_numpy(), pdf["root"].to_numpy()
-            pairs = []
-            for a, b in zip(*(x.tolist() for x in bounds(pdf["node"].to_numpy())), strict=True):
-                for i in range(a, b - 1):
-                    near = np.flatnonzero((m[i + 1 : b] == m[i]).sum(axis=1) >= least) + i + 1
-                    pairs += [(v[i], v[j]) for j in near.tolist() if root[i] != root[j]]
-            yield pd.DataFrame(pairs, columns=["a", "b"]).drop_duplicates()
-
-    dealt = small.select("node", "v", "root", "tokens").repartition("node").sortWithinPartitions("node")
-    pairs = staged(dealt.mapInPandas(compare, "a binary, b binary"), "pairs")
-    large = rooted.filter(F.col("size") > SMALL).select("tree", "node", "v", "tokens")
+    rooted = staged(rooted.join(mixed.select("tree", "node", "size").hint("merge"), ["tree", "node"]), "mixed")
+    small = rooted.filter(F.col("size") <= SMALL).select(F.xxhash64("tree", "node").alias("node"), "v", "root", F.lit(0).alias("side"))
+    pairs = staged(_candidates(small, tokens, least), "candidates")
+    large = rooted.filter(F.col("size") > SMALL).select("tree", "node", "v").join(tokens.hint("merge"), "v")
 
     def branch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows, keys = _children(pdf["node"].to_numpy().view(np.uint64), _matrix(pdf["tokens"]), percent)
+            m, rows, keys = _matrix(pdf["tokens"]), np.arange(len(pdf)), pdf["node"].to_numpy().view(np.uint64)
+            for _ in range(STEP if len(pdf) else 0):
+                which, keys = _children(keys, m[rows], percent)
+                rows = rows[which]
             yield pd.DataFrame({"tree": pdf["tree"].to_numpy()[rows], "node": keys.view(np.int64), "v": pdf["v"].to_numpy()[rows]})
 
     down = staged(large.mapInPandas(branch, "tree int, node long, v binary"), "level")
     return (None if down.isEmpty() else down), pairs
 
 
-def _block_pairs(level: DataFrame, tokens: DataFrame, least: int, block: int = 256) -> DataFrame:
-    """Likely pairs inside nodes of any size: blocks of a node's vertices against its blocks, each pair of blocks a task's group."""
-    size = level.groupBy("tree", "node").agg(F.count("*").alias("size"))
+def _blocks(level: DataFrame, roots: DataFrame, block: int = 256) -> DataFrame:
+    """Nodes of any size as pairs of blocks, each pair a node of bounded size: side 0 against side 1, or a block against itself."""
+    rooted = level.join(roots.hint("merge"), "v", "left").select("tree", "node", "v", F.coalesce("root", "v").alias("root"))
     n = F.ceil(F.col("size") / block).cast("int")
-    rows = level.join(size.hint("merge"), ["tree", "node"]).withColumn("own", F.pmod(F.xxhash64("v"), n).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1))).join(tokens.hint("merge"), "v")
+    size = rooted.groupBy("tree", "node").agg(F.count("*").alias("size"))
+    rows = rooted.join(size.hint("merge"), ["tree", "node"]).withColumn("own", F.pmod(F.xxhash64("v"), n).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     key = F.xxhash64("tree", "node", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return rows.select(key.alias("node"), "v", "root", side.alias("side"))
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in key_groups(batches, "key"):
-            m, v = _matrix(pdf["tokens"]), pdf["v"].to_numpy()
-            pairs = []
-            for a, b in zip(*(x.tolist() for x in bounds(pdf["key"].to_numpy())), strict=True):
+
+def _candidates(nodes: DataFrame, tokens: DataFrame, least: int) -> DataFrame:
+    """Those vertices (node, v, root, side, tokens) that have a likely partner of another component in their node."""
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in key_groups(batches, "node"):
+            m, root, side = _matrix(pdf["tokens"]), pdf["root"].to_numpy(), pdf["side"].to_numpy()
+            wanted = np.zeros(len(pdf), bool)
+            for a, b in zip(*(x.tolist() for x in bounds(pdf["node"].to_numpy())), strict=True):
                 for i in range(a, b - 1):
                     near = np.flatnonzero((m[i + 1 : b] == m[i]).sum(axis=1) >= least) + i + 1
-                    pairs += [(v[i], v[j]) for j in near.tolist()]
-            yield pd.DataFrame(pairs, columns=["a", "b"])
+                    near = near[(root[near] != root[i]) & ((side[near] != side[i]) | (side[i] == 0))]
+                    if len(near):
+                        wanted[i] = wanted[near] = True
+            yield pdf[wanted]
+
+    rows = nodes.join(tokens.hint("merge"), "v").select("node", "v", "root", "side", "tokens")
+    return rows.repartition("node").sortWithinPartitions("node").mapInPandas(pick, rows.schema)
+
+
+def _compared(rows: DataFrame, sets: DataFrame, percent: int, least: int) -> DataFrame:
+    """Links (a, b) that join the vertices of each node: likely pairs of different components, on their full sets.
 
-    dealt = rows.select(key.alias("key"), "v", "tokens").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInPandas(compare, "a binary, b binary")
+    What a node has joined already isn't compared again, so a node gives fewer links than it has vertices.
+    """
+    full = rows.join(sets.withColumnRenamed("tokens", "members").hint("merge"), "v")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in key_groups(batches, "node"):
+            m, v, side = _matrix(pdf["tokens"]), pdf["v"].to_numpy(), pdf["side"].to_numpy()
+            names, root = np.unique(pdf["root"].to_numpy(), return_inverse=True)
+            sets_ = [np.frombuffer(x, "<u8") for x in pdf["members"]]
+            links_ = []
+            for a, b in zip(*(x.tolist() for x in bounds(pdf["node"].to_numpy())), strict=True):
+                own = root[a:b].copy()
+                for i in range(b - a - 1):
+                    near = np.flatnonzero((m[a + i + 1 : b] == m[a + i]).sum(axis=1) >= least) + i + 1
+                    for j in near.tolist():
+                        if own[i] == own[j] or side[a + i] == side[a + j] != 0:
+                            continue
+                        x, y = sets_[a + i], sets_[a + j]
+                        same = len(np.intersect1d(x, y, assume_unique=True))
+                        if 100 * same >= percent * (len(x) + len(y) - same):
+                            links_.append((v[a + i], v[a + j]))
+                            own[own == own[j]] = own[i]
+            yield pd.DataFrame(links_, columns=["a", "b"])
+
+    cols = ["node", "v", "root", "side", "tokens", "members"]
+    return full.select(cols).repartition("node").sortWithinPartitions("node").mapInPandas(compare, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
