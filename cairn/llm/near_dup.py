@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm.common import batches_by_chars, bounds, key_groups, mix64, staged
-from cairn.llm.components import components
+from cairn.llm.components import components, neighbour_labels
 from cairn.llm.tokens import span_hashes
 
 WORDS, PERCENT = 5, 85
 #: Minwise tokens of a vertex, trees, levels that all trees have, and the deepest level.
 MINWISE, TREES, DEPTH, STEP, DEEPEST = 128, 6, 2, 2, 8
 #: Nodes of at most this many vertices are compared exhaustively.
-SMALL = 512
+SMALL = 2048
 #: Pairs whose estimated similarity is this far below the threshold aren't confirmed: 4 standard deviations.
 SLACK = 4 * (0.85 * 0.15 / MINWISE) ** 0.5
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -205,7 +205,7 @@ def links(docs: DataFrame, vertices: DataFrame, *, percent: int = PERCENT, trees
     least = int(np.floor((percent / 100 - SLACK) * MINWISE))
     nodes = staged(paths(vertices, percent=percent, trees=trees), "nodes")
     several = nodes.groupBy("tree", "node").agg(F.count("*").alias("size"), F.min(F.struct("rank", "v")).alias("least"), F.max(F.struct("rank", "v")).alias("most")).filter("size > 1")
-    several = staged(several.select("tree", "node", "size", F.array("least.v", "most.v").alias("leaders")), "several")
+    several = several.select("tree", "node", F.array("least.v", "most.v").alias("leaders"))
     shared = staged(nodes.join(several.hint("merge"), ["tree", "node"]).select("tree", "node", "v", "leaders"), "shared")
 
     tokens = vertices.select("v", "tokens")
@@ -223,15 +223,15 @@ def links(docs: DataFrame, vertices: DataFrame, *, percent: int = PERCENT, trees
     found = staged(_confirmed(first, staged(_full_sets(docs, vertices.join(ends.hint("merge"), "v", "left_semi")), "sets"), percent), "links")
     level = shared.select("tree", "node", "v")
     done: list[DataFrame] = []
-    roots = staged(components(found), "roots")
+    roots = staged(neighbour_labels(found), "roots")
     for _ in range(DEPTH, DEEPEST + 1, STEP):
         level, small = _residual(level, roots, tokens, percent, least)
         done.append(small)
         if level is None:
             break
     else:  # these agree in so many chosen tokens that branching doesn't part them: blocks against blocks
-        done.append(_candidates(_blocks(level, roots), tokens, least))
-    rest = staged(_union(done), "rest")
+        done.append(staged(_candidates(_blocks(level, roots), tokens, least), "candidates"))
+    rest = _union(done)
     wanted = vertices.join(rest.select("v").distinct().hint("merge"), "v", "left_semi")
     more = _compared(rest, staged(_full_sets(docs, wanted), "sets"), percent, least)
     return found.unionByName(more)
