@@ -12,8 +12,8 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     """Rows (v, root) for each vertex of edges (a, b); root is the least vertex of its component.
 
     Every round writes its edges to the shared folder; the loop ends when the edges are stars. Least neighbours are
-    pre-aggregated before the shuffle and joined back by a join that may be split, so a vertex with a third of all edges
-    stays workable.
+    pre-aggregated before the shuffle, written, and joined back by a join of two shuffles, which AQE can split; so a vertex with
+    a third of all edges stays workable.
     """
     now = staged(_directed(edges.select("a", "b")), "edges")
     for _ in range(rounds):
@@ -55,13 +55,13 @@ def _are_stars(edges: DataFrame) -> bool:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each vertex ties its larger neighbours to the least of its neighbours and itself."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     return both.filter("b > a").join(least.hint("merge"), "a").select(F.col("m").alias("a"), "b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each vertex ties its smaller neighbours and itself to the least of them."""
-    edges = _directed(edges)
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
+    edges = staged(_directed(edges), "tied")
+    least = staged(edges.groupBy("b").agg(F.min("a").alias("m")), "least")
     tied = edges.join(least.hint("merge"), "b")
     return tied.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(least.select(F.col("m").alias("a"), "b"))

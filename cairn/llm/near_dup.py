@@ -205,7 +205,8 @@ def links(docs: DataFrame, vertices: DataFrame, *, percent: int = PERCENT, trees
     least = int(np.floor((percent / 100 - SLACK) * MINWISE))
     nodes = staged(paths(vertices, percent=percent, trees=trees), "nodes")
     several = nodes.groupBy("tree", "node").agg(F.count("*").alias("size"), F.min(F.struct("rank", "v")).alias("least"), F.max(F.struct("rank", "v")).alias("most")).filter("size > 1")
-    several = several.select("tree", "node", F.array("least.v", "most.v").alias("leaders"))
+    # Staged, so that the join has a shuffle on either side and AQE can split a node that holds many vertices.
+    several = staged(several.select("tree", "node", F.array("least.v", "most.v").alias("leaders")), "leaders")
     shared = staged(nodes.join(several.hint("merge"), ["tree", "node"]).select("tree", "node", "v", "leaders"), "shared")
 
     tokens = vertices.select("v", "tokens")
@@ -246,9 +247,10 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def _residual(level: DataFrame, roots: DataFrame, tokens: DataFrame, percent: int, least: int) -> tuple[DataFrame | None, DataFrame]:
     """Candidates in the small nodes that hold several components, and the children of the large ones."""
-    rooted = level.join(roots.hint("merge"), "v", "left").select("tree", "node", "v", F.coalesce("root", "v").alias("root"))
+    rooted = staged(level.join(roots.hint("merge"), "v", "left").select("tree", "node", "v", F.coalesce("root", "v").alias("root")), "rooted")
     mixed = rooted.groupBy("tree", "node").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    rooted = staged(rooted.join(mixed.select("tree", "node", "size").hint("merge"), ["tree", "node"]), "mixed")
+    mixed = staged(mixed.select("tree", "node", "size"), "sizes")  # so that AQE can split the join
+    rooted = staged(rooted.join(mixed.hint("merge"), ["tree", "node"]), "mixed")
     small = rooted.filter(F.col("size") <= SMALL).select(F.xxhash64("tree", "node").alias("node"), "v", "root", F.lit(0).alias("side"))
     pairs = staged(_candidates(small, tokens, least), "candidates")
     large = rooted.filter(F.col("size") > SMALL).select("tree", "node", "v").join(tokens.hint("merge"), "v")
