@@ -124,8 +124,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
 
     several = len(parts) > 1
     if not several:
-        slim = docs.select("doc_id", F.col("text").cast("string").alias("__text"))
-        return _judged(scan(slim, parts[0]).drop("marks"))
+        # Ids travel as text: pandas would make floats of integers among nulls.
+        slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("__text"))
+        found = scan(slim, parts[0]).drop("marks")
+        return _judged(found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)))
     base = staged(docs.select("doc_id", F.col("text").cast("string").alias("__text")).withColumn("__row", F.monotonically_increasing_id()), "rows")
     found = [staged(scan(base.select("__row", "__text"), p), "hits") for p in parts]
     united = found[0]
