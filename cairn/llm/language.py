@@ -10,7 +10,7 @@ a null id is in no fold and is not learned from; rows are scored one by one what
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -116,28 +116,31 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, float]:
     return languages, table, float(heat[int(np.argmin(loss))]) if len(truth) else 1.0
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, held_out, lang_pred, score)."""
-    spark = docs.sparkSession
+def learned(docs: DataFrame) -> Callable[[F.Column], F.Column]:
+    """Language and score of a text (a struct of lang_pred and score), as a column function, learned from the fold."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 4) != 2))
-    sent = spark.sparkContext.broadcast(train(known))  # bounded: n-grams times languages
+    sent = docs.sparkSession.sparkContext.broadcast(train(known))  # bounded: n-grams times languages
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def found(texts: pd.Series) -> pd.DataFrame:
         languages, table, heat = sent.value
-        for pdf in batches:
-            logits, has = ngrams.scores(pdf["text"].tolist(), table)
-            p = softmax(logits / heat)
-            has &= bool(languages)
-            best = p.argmax(axis=1)
-            pred = [languages[b] if h else "und" for b, h in zip(best.tolist(), has.tolist(), strict=True)]
-            yield pd.DataFrame({"row": pdf["row"], "no_id": pdf["no_id"], "held_out": pdf["held_out"], "lang_pred": pred, "score": np.where(has, p.max(axis=1), 0.0)})
-
-    flat = rows.select(
-        F.coalesce("doc_id", F.lit(0)).alias("row"), F.col("doc_id").isNull().alias("no_id"), F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text"
-    )
-    out = flat.mapInPandas(run, "row long, no_id boolean, held_out boolean, lang_pred string, score double")
-    return out.select(F.when(~F.col("no_id"), F.col("row")).alias("doc_id"), "held_out", "lang_pred", "score")
+        logits, has = ngrams.scores(texts.tolist(), table)
+        p = softmax(logits / heat)
+        has &= bool(languages)
+        best = p.argmax(axis=1)
+        pred = [languages[b] if h else "und" for b, h in zip(best.tolist(), has.tolist(), strict=True)]
+        return pd.DataFrame({"lang_pred": pred, "score": np.where(has, p.max(axis=1), 0.0)})
+
+    return lambda text: found(text.cast("string"))
+
+
+def identify(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, held_out, lang_pred, score)."""
+    found = learned(docs)(F.col("text"))
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out, found.alias("found"))
+    return out.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
 def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.llm.common import fold, staged
 
@@ -144,15 +145,14 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
     return w
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (doc_id, held_out, score, predicted)."""
+def learned(docs: DataFrame, labels: DataFrame) -> Callable[[F.Column], F.Column]:
+    """The score of a text, as a column function, learned from the labelled documents of the fold; null text is empty."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = staged(rows.filter((fold("doc_id", 3) != 1) & F.col("text").isNotNull()).join(marks, "doc_id"), "labelled")
     lexicon = learn_lexicon(known)
-    scorer = Scorer(lexicon)
-    sent = spark.sparkContext.broadcast(scorer)
+    sent = spark.sparkContext.broadcast(Scorer(lexicon))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -160,22 +160,24 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("toxic", "text")
     found = sample.mapInPandas(features, "toxic int, x array<double>").collect()
-    weights = fit(np.array([r.x for r in found]), np.array([r.toxic for r in found])) if lexicon and found else None
+    if not lexicon or not found:
+        return lambda text: F.lit(0.0)
+    weights = fit(np.array([r.x for r in found]), np.array([r.toxic for r in found]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if weights is None:
-                s = np.zeros(len(pdf))
-            else:
-                x = np.array([sent.value.features(t) for t in pdf["text"]]).reshape(len(pdf), -1)
-                s = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
-            yield pd.DataFrame({"row": pdf["row"], "no_id": pdf["no_id"], "held_out": pdf["held_out"], "score": s, "predicted": (s >= THRESHOLD).astype(np.int32)})
-
-    flat = rows.select(
-        F.coalesce("doc_id", F.lit(0)).alias("row"), F.col("doc_id").isNull().alias("no_id"), F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "text"
-    )
-    out = flat.mapInPandas(run, "row long, no_id boolean, held_out boolean, score double, predicted int")
-    return out.select(F.when(~F.col("no_id"), F.col("row")).alias("doc_id"), "held_out", "score", "predicted")
+    @F.pandas_udf(T.DoubleType())
+    def scored(texts: pd.Series) -> pd.Series:
+        x = np.array([sent.value.features(t) for t in texts]).reshape(len(texts), -1)
+        return pd.Series(1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30))) if len(texts) else np.zeros(0))
+
+    return lambda text: scored(text.cast("string"))
+
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (doc_id, held_out, score, predicted)."""
+    scored = learned(docs, labels)(F.col("text"))
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out, scored.alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
