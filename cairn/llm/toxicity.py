@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from cairn.llm.common import fold, staged
 
 SAMPLE, THRESHOLD, LEAST_DOCS = 8000, 0.7, 3
+#: Toxic texts whose so many strongest words are the same count once as evidence.
+STRONGEST = 3
 #: Word classes of the grammar in English, French, German and Spanish.
 THREATS = "kill hurt destroy beat shoot stab burn tuer frapper brûler töten schlagen verbrennen matar golpear quemar"
 TARGETS = "you your yourself they them he she him her tu toi vous ton votre ils elles du dich dir dein ihr euch sie tú ti usted ustedes vosotros ellos"
@@ -120,16 +122,23 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     counted = staged(counted.filter("t > 0"), "words")
     seen = counted.count()
     rate = n[1] / (n[0] + n[1])
-    size = F.col("t") + F.col("c")
-    # Log-likelihood ratio of the word's share of toxic documents against the share of all.
-    part = lambda x, p: F.when(x > 0, x * F.log(x / (size * p))).otherwise(0.0)
-    ratio = 2 * (part(F.col("t"), rate) + part(F.col("c"), 1 - rate))
+
+    def insulting() -> F.Column:
+        """By the log-likelihood ratio of the word's share of toxic documents against the share of all."""
+        size = F.col("t") + F.col("c")
+        part = lambda x, p: F.when(x > 0, x * F.log(x / (size * p))).otherwise(0.0)
+        ratio = 2 * (part(F.col("t"), rate) + part(F.col("c"), 1 - rate))
+        return (F.col("t") >= LEAST_DOCS) & (F.col("t") > 0.5 * size) & (odds > 0) & (ratio > 2 * float(np.log(max(2, seen))) + 2)
+
     odds = F.log(((F.col("t") + 0.5) / (n[1] + 1)) / ((F.col("c") + 0.5) / (n[0] + 1)))
-    kept = counted.filter(
-        (F.col("t") >= LEAST_DOCS) & (F.col("t") > 0.5 * size) & (odds > 0) & (ratio > 2 * float(np.log(max(2, seen))) + 2)
-    )
+    likely = staged(counted.filter(insulting()).withColumn("odds", odds), "candidates")
+    # Filler words of a toxic text that has copies look like insults as well, so copies count once: their strongest words are the same.
+    own = labelled.filter("toxic = 1").select(F.xxhash64("text").alias("h"), F.explode(words).alias("word")).join(likely, "word")
+    texts = own.groupBy("h").agg(F.sort_array(F.collect_set(F.struct((-F.col("odds")).alias("o"), "word"))).alias("ws"))
+    once = texts.select(F.slice("ws.word", 1, STRONGEST).alias("kind"), F.explode("ws.word").alias("word")).distinct()
+    recounted = once.groupBy("word").agg(F.count("*").cast("double").alias("t")).join(likely.select("word", "c"), "word")
     # Bounded: each word explains toxic documents beyond chance, and a document holds a limited number of distinct words.
-    return {r.word: r.odds for r in kept.select("word", odds.alias("odds")).collect()}
+    return {r.word: r.odds for r in recounted.filter(insulting()).select("word", odds.alias("odds")).collect()}
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
