@@ -21,19 +21,21 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scored.filter("predicted = 1"))
+    score = toxicity.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.filter(score(F.col("text")) < toxicity.THRESHOLD)
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language.identify(docs)
-    return _without(docs, found.filter((F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE_SCORE)))
+    found = language.learned(docs)(F.col("text"))
+    return docs.filter((found["lang_pred"] != "und") & (found["score"] >= LEAST_LANGUAGE_SCORE))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that with the least id, and of rows that share it the first by text."""
     kept = _without(docs, near_dup.near_duplicates(docs).filter("not kept"))
-    same = kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
+    same = staged(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"), "same_id")
+    if same.isEmpty():
+        return kept
     once = kept.join(same, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(same, "doc_id", "left_anti").unionByName(once).select(docs.columns)
 
