@@ -159,7 +159,8 @@ def learned(docs: DataFrame, labels: DataFrame) -> Callable[[F.Column], F.Column
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = staged(rows.filter((fold("doc_id", 3) != 1) & F.col("text").isNotNull()).join(marks, "doc_id"), "labelled")
+    # Labels grow with the documents, so they aren't broadcast at any size.
+    known = staged(rows.filter((fold("doc_id", 3) != 1) & F.col("text").isNotNull()).join(marks.hint("merge"), "doc_id"), "labelled")
     lexicon = learn_lexicon(known)
     sent = spark.sparkContext.broadcast(Scorer(lexicon))
 
