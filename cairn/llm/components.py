@@ -12,8 +12,7 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     """Rows (v, root) for each vertex of edges (a, b); root is the least vertex of its component.
 
     Every round writes its edges to the shared folder; the loop ends when the edges are stars. Least neighbours are
-    pre-aggregated before the shuffle and joined back by a join that may be split, so a vertex with a third of all edges
-    stays workable.
+    pre-aggregated before the shuffle; the join that brings them back can't be split, so all edges of a vertex pass one task, as a sorted stream.
     """
     now = staged(_directed(edges.select("a", "b")), "edges")
     for _ in range(rounds):
