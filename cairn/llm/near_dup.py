@@ -6,8 +6,9 @@ node: each node chooses one of the minwise tokens, and with the probability that
 second one; vertices with the same token share a child. Independent trees are repeated to reach the target recall.
 
 Work in a node: every vertex is compared with a leader of the node, chosen differently in each tree, which joins large groups
-of copies at linear cost. Nodes that then still hold several components are compared exhaustively, on full sets, when they are small
-and branched further when they are not; vertices of one component need no further comparison. Links are confirmed on
+of copies at linear cost. Nodes that then still hold several components are compared exhaustively, on full sets, when they are small.
+The vertices of larger ones go through deeper trees of their own, so many that as few pairs are missed as by the first trees; what is
+large at the deepest level is compared in blocks. Vertices of one component need no further comparison. Links are confirmed on
 the full sets of hashed shingles, read again from the texts of the vertices concerned.
 
 Defined results: null text, empty text and text without words have an empty set and link with nothing; a shorter text
@@ -32,6 +33,8 @@ from cairn.llm.tokens import span_hashes
 WORDS, PERCENT = 5, 85
 #: Minwise tokens of a vertex, trees, levels that all trees have, and the deepest level.
 MINWISE, TREES, DEPTH, STEP, DEEPEST = 128, 6, 2, 2, 8
+#: Share of the pairs at the threshold that the trees of one depth may miss together: that of six trees of two levels.
+MISSED = 1.3e-4
 #: Nodes of at most this many vertices are compared exhaustively.
 SMALL = 2048
 #: Pairs whose estimated similarity is this far below the threshold aren't confirmed: 4 standard deviations.
@@ -134,14 +137,28 @@ def _children(keys: np.ndarray, tokens: np.ndarray, percent: int) -> tuple[np.nd
     return np.concatenate([rows, rows[more]]), np.concatenate([a, b])
 
 
-def paths(vertices: DataFrame, *, percent: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+def missed(percent: int, depth: int) -> float:
+    """Share of the pairs at the threshold that share no node at this depth of one tree."""
+    same, found = percent / 100, 1.0
+    for _ in range(depth):  # by the first child, or by the second where there is one
+        found = 1 - (1 - same * found) * (1 - (1 - same) * found)
+    return 1 - found
+
+
+def trees_for(percent: int, depth: int) -> int:
+    """Trees of this depth that miss at most ``MISSED`` of the pairs at the threshold."""
+    one = missed(percent, depth)
+    return max(1, int(np.ceil(np.log(MISSED) / np.log(one)))) if one > 0 else 1
+
+
+def paths(vertices: DataFrame, *, percent: int, trees: int = TREES, depth: int = DEPTH, first: int = 0) -> DataFrame:
     """Rows (tree, node, v, rank) for the nodes at the given depth of all trees; rank orders leaders, tree by tree."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             tokens = _matrix(pdf["tokens"])
             own = np.array([int.from_bytes(v[:8], "little") for v in pdf["v"]], np.uint64)
-            for tree in range(trees):
+            for tree in range(first, first + trees):
                 rows, keys = np.arange(len(pdf)), np.full(len(pdf), mix64(np.array([tree], np.uint64))[0])
                 for _ in range(depth):
                     which, keys = _children(keys, tokens[rows], percent)
@@ -221,16 +238,20 @@ def links(docs: DataFrame, vertices: DataFrame, *, percent: int = PERCENT, trees
     ends = first.select(F.col("a").alias("v")).union(first.select(F.col("b").alias("v"))).distinct()
     # Sets are needed of all vertices that share a node and may be compared later on.
     found = staged(_confirmed(first, staged(_full_sets(docs, vertices.join(ends.hint("merge"), "v", "left_semi")), "sets"), percent), "links")
-    level = shared.select("tree", "node", "v")
+    level, begun = shared.select("tree", "node", "v"), trees
     done: list[DataFrame] = []
     roots = staged(neighbour_labels(found), "roots")
-    for _ in range(DEPTH, DEEPEST + 1, STEP):
-        level, small = _residual(level, roots, tokens, percent, least)
+    for depth in range(DEPTH, DEEPEST + 1, STEP):
+        if depth > DEPTH:  # new trees, since a pair seldom stays together over more levels of the same few
+            crowded, n = staged(large.select("v").distinct().join(tokens.hint("merge"), "v"), "crowded"), trees_for(percent, depth)
+            level = paths(crowded, percent=percent, trees=n, depth=depth, first=begun).select("tree", "node", "v")
+            level, begun = staged(level, "level"), begun + n
+        small, large = _residual(level, roots, tokens, least)
         done.append(small)
-        if level is None:
+        if large.isEmpty():
             break
     else:  # these agree in so many chosen tokens that branching doesn't part them: blocks against blocks
-        done.append(staged(_candidates(_blocks(level, roots), tokens, least), "candidates"))
+        done.append(staged(_candidates(_blocks(large, roots), tokens, least), "candidates"))
     rest = _union(done)
     wanted = vertices.join(rest.select("v").distinct().hint("merge"), "v", "left_semi")
     more = _compared(rest, staged(_full_sets(docs, wanted), "sets"), percent, least)
@@ -244,25 +265,13 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _residual(level: DataFrame, roots: DataFrame, tokens: DataFrame, percent: int, least: int) -> tuple[DataFrame | None, DataFrame]:
-    """Candidates in the small nodes that hold several components, and the children of the large ones."""
+def _residual(level: DataFrame, roots: DataFrame, tokens: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates in the small nodes that hold several components, and rows (tree, node, v) of the large ones."""
     rooted = level.join(roots.hint("merge"), "v", "left").select("tree", "node", "v", F.coalesce("root", "v").alias("root"))
     mixed = rooted.groupBy("tree", "node").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
     rooted = staged(rooted.join(mixed.select("tree", "node", "size").hint("merge"), ["tree", "node"]), "mixed")
     small = rooted.filter(F.col("size") <= SMALL).select(F.xxhash64("tree", "node").alias("node"), "v", "root", F.lit(0).alias("side"))
-    pairs = staged(_candidates(small, tokens, least), "candidates")
-    large = rooted.filter(F.col("size") > SMALL).select("tree", "node", "v").join(tokens.hint("merge"), "v")
-
-    def branch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            m, rows, keys = _matrix(pdf["tokens"]), np.arange(len(pdf)), pdf["node"].to_numpy().view(np.uint64)
-            for _ in range(STEP if len(pdf) else 0):
-                which, keys = _children(keys, m[rows], percent)
-                rows = rows[which]
-            yield pd.DataFrame({"tree": pdf["tree"].to_numpy()[rows], "node": keys.view(np.int64), "v": pdf["v"].to_numpy()[rows]})
-
-    down = staged(large.mapInPandas(branch, "tree int, node long, v binary"), "level")
-    return (None if down.isEmpty() else down), pairs
+    return staged(_candidates(small, tokens, least), "candidates"), rooted.filter(F.col("size") > SMALL).select("tree", "node", "v")
 
 
 def _blocks(level: DataFrame, roots: DataFrame, block: int = 256) -> DataFrame:

@@ -121,6 +121,21 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {r.doc_id: r.component_id for r in got} == root and {r.doc_id: r.n_shingles for r in got} == {i: len(s) for i, s in sets.items()}
 
 
+def test_near_duplicates_in_large_nodes_are_found(spark, monkeypatch):
+    """Distinct copies of one text, of which only the planted pairs (116 of 136 shingles in common) reach the threshold."""
+    monkeypatch.setattr(near_dup, "SMALL", 2)
+    docs = []
+    for k in range(150):
+        w, at = [f"b{x}b" for x in range(130)], 5 + k % 25
+        to = at + 60 + k // 25 * 5
+        w[at], w[to] = f"x{k}", f"y{k}"
+        other = list(w)
+        other[at + 30 - k // 25], other[to + 10] = f"p{k}", f"q{k}"
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame(spark, docs)).collect()}
+    assert got == {i: i - i % 2 for i in range(300)}
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(20, 24))
