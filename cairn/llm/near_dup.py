@@ -31,14 +31,14 @@ from cairn.llm.components import components, neighbour_labels
 from cairn.llm.tokens import span_hashes
 
 WORDS, PERCENT = 5, 85
-#: Minwise tokens of a vertex, trees, levels that all trees have, and the deepest level.
-MINWISE, TREES, DEPTH, STEP, DEEPEST = 128, 6, 2, 2, 8
-#: Share of the pairs at the threshold that the trees of one depth may miss together: that of six trees of two levels.
+#: Minwise tokens of a vertex, levels that the first trees have, levels between trees, and the deepest level.
+MINWISE, DEPTH, STEP, DEEPEST = 128, 2, 2, 8
+#: Share of the pairs at the threshold that the trees of one depth may miss together: that of six trees of two levels at 85 percent.
 MISSED = 1.3e-4
 #: Nodes of at most this many vertices are compared exhaustively.
 SMALL = 2048
-#: Pairs whose estimated similarity is this far below the threshold aren't confirmed: 4 standard deviations.
-SLACK = 4 * (0.85 * 0.15 / MINWISE) ** 0.5
+#: Pairs whose estimated similarity is this many standard deviations below the threshold aren't confirmed.
+DEVIATIONS = 4
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -151,7 +151,13 @@ def trees_for(percent: int, depth: int) -> int:
     return max(1, int(np.ceil(np.log(MISSED) / np.log(one)))) if one > 0 else 1
 
 
-def paths(vertices: DataFrame, *, percent: int, trees: int = TREES, depth: int = DEPTH, first: int = 0) -> DataFrame:
+def least_agreeing(percent: int) -> int:
+    """Least number of minwise tokens that agree in a pair worth confirming."""
+    same = percent / 100
+    return int(np.floor((same - DEVIATIONS * (same * (1 - same) / MINWISE) ** 0.5) * MINWISE))
+
+
+def paths(vertices: DataFrame, *, percent: int, trees: int, depth: int = DEPTH, first: int = 0) -> DataFrame:
     """Rows (tree, node, v, rank) for the nodes at the given depth of all trees; rank orders leaders, tree by tree."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,12 +220,12 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return sets.groupBy("v").agg(F.max(F.struct("n", "tokens")).alias("s")).select("v", "s.tokens", "s.n")
 
 
-def links(docs: DataFrame, vertices: DataFrame, *, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
+def links(docs: DataFrame, vertices: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """Confirmed links (a, b) between vertices that join the same components as all links do.
 
     vertices: rows (v, doc_id, tokens), with the id of one document of that set.
     """
-    least = int(np.floor((percent / 100 - SLACK) * MINWISE))
+    least, trees = least_agreeing(percent), trees_for(percent, DEPTH)
     nodes = staged(paths(vertices, percent=percent, trees=trees), "nodes")
     several = nodes.groupBy("tree", "node").agg(F.count("*").alias("size"), F.min(F.struct("rank", "v")).alias("least"), F.max(F.struct("rank", "v")).alias("most")).filter("size > 1")
     several = several.select("tree", "node", F.array("least.v", "most.v").alias("leaders"))
@@ -336,12 +342,12 @@ def _compared(rows: DataFrame, sets: DataFrame, percent: int, least: int) -> Dat
     return full.select(cols).repartition("node").sortWithinPartitions("node").mapInPandas(compare, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one per document."""
     rows = staged(sketch(docs), "sketch")
     vertices = rows.filter(F.col("v").isNotNull()).groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.min("tokens").alias("tokens"))
     vertices = staged(vertices, "vertices")
-    roots = components(links(docs, vertices, percent=percent, trees=trees))
+    roots = components(links(docs, vertices, percent=percent))
     linked = vertices.select("v", "doc_id").join(roots.hint("merge"), "v")
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = linked.join(least.hint("merge"), "root").select("v", "component_id")

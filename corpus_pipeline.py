@@ -13,6 +13,8 @@ from cairn.llm.common import staged
 
 #: Documents whose best language is less likely than this are rejected; the least possible of four is 0.25.
 LEAST_LANGUAGE_SCORE = 0.3
+#: Documents that share so many percent of their five-word shingles are near duplicates here.
+LEAST_SIMILARITY = 80
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -32,7 +34,7 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that with the least id, and of rows that share it the first by text."""
-    kept = _without(docs, near_dup.near_duplicates(docs).filter("not kept"))
+    kept = _without(docs, near_dup.near_duplicates(docs, percent=LEAST_SIMILARITY).filter("not kept"))
     same = staged(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"), "same_id")
     if same.isEmpty():
         return kept

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cairn.llm import components, decontaminate, embedding_dedup, html_text, near_dup, packing, quality, toxicity, warc
 from cairn.llm import token_store as ts
 
@@ -136,6 +137,22 @@ def test_near_duplicates_in_large_nodes_are_found(spark, monkeypatch):
     assert got == {i: i - i % 2 for i in range(300)}
 
 
+def test_estimates_follow_the_threshold():
+    assert near_dup.trees_for(85, near_dup.DEPTH) == 6 < near_dup.trees_for(80, near_dup.DEPTH)
+    assert near_dup.least_agreeing(85) == 92 and near_dup.least_agreeing(80) == 84
+
+
+def test_pipeline_drops_copies_from_similarity_080(spark):
+    """113 of 139 shingles in common."""
+    words = [f"b{x}" for x in range(130)]
+    copy = list(words)
+    copy[10], copy[70] = "x", "y"
+    other = list(words)
+    other[2] = "z"
+    docs = frame(spark, [(1, " ".join(copy)), (2, " ".join(other)), (3, "something else")])
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(20, 24))
