@@ -100,7 +100,7 @@ def set_key(tokens: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, v, n_shingles, tokens): vertex and minwise tokens; both null for an empty set."""
+    """Rows (doc_id, at, v, n_shingles, tokens): key of id and text, vertex and minwise tokens; the last and v null for an empty set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -114,12 +114,17 @@ def sketch(docs: DataFrame) -> DataFrame:
                     tokens += minwise(held)
                     held, size = [], 0
             tokens += minwise(held)
-            yield pd.DataFrame({"row": pdf["row"], "no_id": pdf["no_id"], "v": v, "n_shingles": n, "tokens": tokens})
+            yield pd.DataFrame({"row": pdf["row"], "at": pdf["at"], "no_id": pdf["no_id"], "v": v, "n_shingles": n, "tokens": tokens})
 
-    doc = F.col("doc_id").cast("long")
-    rows = docs.select(F.coalesce(doc, F.lit(0)).alias("row"), doc.isNull().alias("no_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInPandas(run, "row long, no_id boolean, v binary, n_shingles long, tokens binary")
-    return out.select(F.when(~F.col("no_id"), F.col("row")).alias("doc_id"), "v", "n_shingles", "tokens")
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    rows = docs.select(F.coalesce(doc, F.lit(0)).alias("row"), _at(doc, text), doc.isNull().alias("no_id"), text.alias("text"))
+    out = rows.mapInPandas(run, "row long, at long, no_id boolean, v binary, n_shingles long, tokens binary")
+    return out.select(F.when(~F.col("no_id"), F.col("row")).alias("doc_id"), "at", "v", "n_shingles", "tokens")
+
+
+def _at(doc: F.Column, text: F.Column) -> F.Column:
+    """Key by which a text is read again; it needs no id."""
+    return F.xxhash64(doc, text).alias("at")
 
 
 def _children(keys: np.ndarray, tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,16 +210,17 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Full sets (v, tokens, n) of the wanted vertices, from the text of one document (the one with the least row) of each."""
+    """Full sets (v, tokens, n) of the wanted vertices, from the text of one document (that with the least id, if any has one) of each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [(set_key(s), s.astype("<u8").tobytes(), len(s)) for s in shingle_sets(pdf["text"].tolist())]
             yield pd.DataFrame(found, columns=["v", "tokens", "n"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Rows that share an id each yield their set; the semi join keeps one wanted set of each kind.
-    picked = texts.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    text = F.col("text").cast("string")
+    texts = docs.select(_at(F.col("doc_id").cast("long"), text), text.alias("text"))
+    # Rows that share id and text each yield their set; the semi join keeps one wanted set of each kind.
+    picked = texts.join(wanted.select("at").distinct().hint("merge"), "at", "left_semi")
     sets = picked.mapInPandas(run, "v binary, tokens binary, n long")
     sets = sets.join(wanted.select("v").distinct().hint("merge"), "v", "left_semi")
     return sets.groupBy("v").agg(F.max(F.struct("n", "tokens")).alias("s")).select("v", "s.tokens", "s.n")
@@ -223,7 +229,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def links(docs: DataFrame, vertices: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """Confirmed links (a, b) between vertices that join the same components as all links do.
 
-    vertices: rows (v, doc_id, tokens), with the id of one document of that set.
+    vertices: rows (v, at, tokens), with the key of one document of that set.
     """
     least, trees = least_agreeing(percent), trees_for(percent, DEPTH)
     nodes = staged(paths(vertices, percent=percent, trees=trees), "nodes")
@@ -345,8 +351,8 @@ def _compared(rows: DataFrame, sets: DataFrame, percent: int, least: int) -> Dat
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one per document."""
     rows = staged(sketch(docs), "sketch")
-    vertices = rows.filter(F.col("v").isNotNull()).groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.min("tokens").alias("tokens"))
-    vertices = staged(vertices, "vertices")
+    vertices = rows.filter(F.col("v").isNotNull()).groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at")).alias("one"), F.min("tokens").alias("tokens"))
+    vertices = staged(vertices.select("v", "doc_id", "one.at", "tokens"), "vertices")
     roots = components(links(docs, vertices, percent=percent))
     linked = vertices.select("v", "doc_id").join(roots.hint("merge"), "v")
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -153,6 +153,15 @@ def test_pipeline_drops_copies_from_similarity_080(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
 
 
+def test_near_copies_without_id_are_linked(spark):
+    """The second text is linked with the first and the third, which are not alike enough."""
+    words = [f"b{x}" for x in range(130)]
+    a, c = list(words), list(words)
+    a[10], a[20], c[90], c[110] = "p", "q", "r", "s"
+    got = near_dup.near_duplicates(frame(spark, [(1, " ".join(a)), (None, " ".join(words)), (3, " ".join(c))])).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(1, 1, True), (None, 1, False), (3, 1, False)}
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(20, 24))
