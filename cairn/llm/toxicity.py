@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm.common import fold, staged
+from cairn.llm.near_dup import near_duplicates
 
 SAMPLE, THRESHOLD, LEAST_DOCS = 8000, 0.7, 3
-#: Toxic texts whose so many strongest words are the same count once as evidence.
-STRONGEST = 3
+#: Labelled texts that share so many percent of their five-word shingles are copies, which count once as evidence.
+COPIES = 85
 #: Word classes of the grammar in English, French, German and Spanish.
 THREATS = "kill hurt destroy beat shoot stab burn tuer frapper brûler töten schlagen verbrennen matar golpear quemar"
 TARGETS = "you your yourself they them he she him her tu toi vous ton votre ils elles du dich dir dein ihr euch sie tú ti usted ustedes vosotros ellos"
@@ -107,8 +108,18 @@ class Scorer:
         return np.concatenate([best, np.log1p(total)])
 
 
+def without_copies(labelled: DataFrame) -> DataFrame:
+    """Rows (text, toxic): one text of each group of equal or near copies, for each label that the group has; labelled: text, toxic."""
+    texts = staged(labelled.groupBy(F.xxhash64("text").alias("doc_id"), "toxic").agg(F.min("text").alias("text")), "texts")
+    # A text that has both labels is one document here.
+    groups = near_duplicates(texts.groupBy("doc_id").agg(F.min("text").alias("text")), percent=COPIES).select("doc_id", "component_id")
+    first = texts.select("doc_id", "toxic").join(groups.hint("merge"), "doc_id").groupBy("component_id", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    return texts.join(first.select("doc_id", "toxic").hint("merge"), ["doc_id", "toxic"]).select("text", "toxic")
+
+
 def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
-    """Words with their log odds, where the evidence beats chance over all words seen; labelled: text, toxic."""
+    """Words with their log odds, where the evidence beats chance over all words seen; copies count once, toxic or clean."""
+    labelled = staged(without_copies(labelled), "once")
     totals = labelled.groupBy("toxic").count().collect()
     n = {r.toxic: r["count"] for r in totals}
     if not n.get(1) or not n.get(0):
@@ -131,14 +142,8 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
         return (F.col("t") >= LEAST_DOCS) & (F.col("t") > 0.5 * size) & (odds > 0) & (ratio > 2 * float(np.log(max(2, seen))) + 2)
 
     odds = F.log(((F.col("t") + 0.5) / (n[1] + 1)) / ((F.col("c") + 0.5) / (n[0] + 1)))
-    likely = staged(counted.filter(insulting()).withColumn("odds", odds), "candidates")
-    # Filler words of a toxic text that has copies look like insults as well, so copies count once: their strongest words are the same.
-    own = labelled.filter("toxic = 1").select(F.xxhash64("text").alias("h"), F.explode(words).alias("word")).join(likely, "word")
-    texts = own.groupBy("h").agg(F.sort_array(F.collect_set(F.struct((-F.col("odds")).alias("o"), "word"))).alias("ws"))
-    once = texts.select(F.slice("ws.word", 1, STRONGEST).alias("kind"), F.explode("ws.word").alias("word")).distinct()
-    recounted = once.groupBy("word").agg(F.count("*").cast("double").alias("t")).join(likely.select("word", "c"), "word")
     # Bounded: each word explains toxic documents beyond chance, and a document holds a limited number of distinct words.
-    return {r.word: r.odds for r in recounted.filter(insulting()).select("word", odds.alias("odds")).collect()}
+    return {r.word: r.odds for r in counted.filter(insulting()).select("word", odds.alias("odds")).collect()}
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:

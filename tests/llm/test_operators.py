@@ -189,6 +189,18 @@ def test_grammar_contexts():
     assert not s.features(None).any() and not s.features("clean text").any()
 
 
+def test_copies_count_once_and_other_texts_each(spark):
+    """Different toxic texts with the same insults are evidence each; the filler of a copied text isn't."""
+    insults = "idiot moron trash"
+    rows = [(f"{insults} " + " ".join(f"t{chr(97 + k)}{chr(97 + j)}" for j in range(8)), 1) for k in range(25)]
+    rows += [(f"{insults} said " + " ".join(f"c{chr(97 + k)}{chr(97 + j)}" for j in range(8)), 0) for k in range(5)]
+    rows += [("filler " + " ".join(f"f{chr(97 + j)}" for j in range(20)), 1)] * 20
+    rows += [(" ".join(f"{x}{chr(97 + k)}{chr(97 + j)}" for j in range(8)), 0) for k in range(20) for x in "uvw"]
+    labelled = spark.createDataFrame(rows, "text string, toxic int")
+    assert set(toxicity.learn_lexicon(labelled)) == set(insults.split())
+    assert toxicity.without_copies(labelled).count() == 25 + 5 + 1 + 60
+
+
 def test_blocks_of_markup():
     page = "<head><title>T</title></head><header>Site</header><div class='cookie-notice'>c</div><main><h1>Head</h1><p>One &amp; two<br>three<p>Four <b>bold</b>x</main><footer>F"
     assert [t for z, t in html_text.blocks(page) if z == "body"] == ["Head", "One & two three", "Four boldx"]
