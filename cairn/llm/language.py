@@ -5,7 +5,8 @@ follow-the-regularised-leader with elastic-net penalties on a bounded sample (``
 languages and chosen by hash), of which a fifth sets the temperature that calibrates the probabilities.
 
 Defined results: null text and text without a letter are ``und`` with score 0, as is everything if nothing can be learned;
-a null id is in no fold and is not learned from; rows are scored one by one whatever their copies.
+a null id is in no fold and is not learned from; rows are scored one by one whatever their copies or ids; texts of any length
+are read whole; of equally likely languages the first by name is taken; extra columns, whatever their names, are ignored; empty tables give no row.
 """
 
 from __future__ import annotations
@@ -51,15 +52,16 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out, rows[0].n if rows else 0
 
 
-def sparse_sample(rows: DataFrame, keep: list[str]) -> list:
-    """Collect n-gram frequencies (index, value arrays) of the rows of a bounded sample."""
+def sparse_sample(rows: DataFrame, keep: list[str], also: tuple[str, Callable[[list], np.ndarray]] | None = None) -> list:
+    """Collect n-gram frequencies (index, value arrays) of the rows of a bounded sample, and what else is asked of their texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pairs = [ngrams.counts(g) for g, _ in ngrams.grams(pdf["text"].tolist())]
-            yield pdf[keep].assign(index=[p[0].tobytes() for p in pairs], value=[p[1].tobytes() for p in pairs])
+            more = {also[0].split()[0]: also[1](pdf["text"].tolist())} if also else {}
+            yield pdf[keep].assign(**more, index=[p[0].tobytes() for p in pairs], value=[p[1].tobytes() for p in pairs])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(keep).schema)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(keep).schema) + (f", {also[0]}" if also else "")
     found = rows.select(*keep, "text").mapInPandas(run, f"{kinds}, index binary, value binary").collect()
     return [(r, np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"], np.float32)) for r in found]
 
