@@ -1,16 +1,18 @@
 """Operator 3: near-duplicate vectors by iterative quantisation, multi-index Hamming tables and exact reranking.
 
-Rotations that balance binary codes are learned on a bounded sample (``SAMPLE`` vectors, the least by hash). Every vector is coded;
+Rotations that balance binary codes are learned on a bounded sample (about ``SAMPLE`` vectors, by hash). Every vector is coded;
 the code bits are cut into substrings, one hash table each, and vectors that share a substring and lie within a Hamming bound
 are compared by cosine of the original vectors. The number of tables is chosen so that pairs exactly at the
-threshold are missed at most ``MISS`` of the time, as measured with the learned rotations.
+threshold are missed at most ``MISS`` of the time, as measured with the learned rotations on vectors that they weren't learned
+from; tables are added, and in the end keys shortened, until that holds.
 
 Dense groups cost no pairs: a vector within half the threshold angle of its table leader joins the leader's ball, and any two members
 of a ball are links by the triangle inequality. Only pairs of different balls are compared; in a hot bucket the rows
 of its largest ball are dealt out in blocks.
 
 Defined results: null vectors, empty ones, zero ones and those with null or non-finite components link with nothing,
-as do vectors of different lengths; equal vectors are links; rows with equal ids each get their row.
+as do vectors of different lengths; equal vectors are links; rows with equal ids each get their row; a null id is ignored in
+component_id unless all are null; vectors may be of any length; extra columns, whatever their names, are ignored; empty tables give no row.
 """
 
 from __future__ import annotations
@@ -60,35 +62,37 @@ def vertices_of(vectors: DataFrame) -> DataFrame:
 class Quantiser:
     """Iterative quantisation: principal directions, then rotations learned by alternating codes and Procrustes."""
 
+    #: After so many rotations in vain the keys get a bit shorter, until the tables reach the recall.
+    PATIENCE = 64
+
     def __init__(self, sample: np.ndarray, n_vectors: int, cosine: float = COSINE, seed: int = 7, rounds: int = 30) -> None:
         rng = np.random.default_rng(seed)
         self.mean = sample.mean(axis=0)
         self.width = int(max(6, np.ceil(np.log2(max(2, n_vectors) / BUCKET))))
-        centred = sample - self.mean
-        _, _, axes = np.linalg.svd(centred, full_matrices=True)
-        flat = centred @ axes.T
-        near = self._at(sample, cosine, rng)
+        # Rotations are learned on one half and the recall is measured on the other, where there are enough vectors.
+        fitted, measured = (sample[::2], sample[1::2]) if len(sample) >= 512 else (sample, sample)
+        _, _, axes = np.linalg.svd(fitted - self.mean, full_matrices=True)
+        flat = (fitted - self.mean) @ axes.T
+        near = self._at(measured, cosine, rng)
         self.axes, self.rotations = axes, []
-        missed = np.ones(len(sample))
-        self.tables: list[np.ndarray] = []
-        for _ in range(64):
+        while True:
             r = np.linalg.qr(rng.normal(size=(len(axes), len(axes))))[0]
             for _ in range(rounds):
                 code = np.sign(flat @ r) + (flat @ r == 0)
                 u, _, w = np.linalg.svd(code.T @ flat)
                 r = w.T @ u.T
             self.rotations.append(r)
-            one, two = self.bits(sample), self.bits(near)
-            last = one.shape[1] - one.shape[1] % self.width
-            agree = (one == two)[:, :last].reshape(len(sample), -1, self.width).all(axis=2)
-            per_table = 1 - agree.mean(axis=0)
-            missed = np.prod(per_table)
-            self.tables = [np.arange(k * self.width, (k + 1) * self.width) for k in range(len(per_table))]
+            same = self.bits(measured) == self.bits(near)
+            last = same.shape[1] - same.shape[1] % self.width
+            per_table = 1 - same[:, :last].reshape(len(measured), -1, self.width).all(axis=2).mean(axis=0)
             keep = np.cumprod(per_table)
-            if missed <= MISS:
-                self.tables = self.tables[: int(np.argmax(keep <= MISS)) + 1]
+            if len(keep) and keep[-1] <= MISS:
+                n_tables = int(np.argmax(keep <= MISS)) + 1
+                self.tables = [np.arange(k * self.width, (k + 1) * self.width) for k in range(n_tables)]
                 break
-        apart = (self.bits(sample) != self.bits(near)).sum(axis=1)
+            if len(self.rotations) % self.PATIENCE == 0:
+                self.width = max(1, self.width - 1)
+        apart = (~same).sum(axis=1)
         #: Hamming bound that pairs at the threshold keep, with room beyond the sample.
         self.most = int(np.ceil(apart.mean() + 5 * apart.std() + 1))
 
@@ -114,8 +118,9 @@ class Quantiser:
 
 
 def learn(vertices: DataFrame, n: int, cosine: float = COSINE) -> Quantiser:
-    """On a bounded sample: the ``SAMPLE`` vectors with the least hash."""
-    rows = vertices.select("x", F.xxhash64("v").alias("h")).orderBy("h").limit(SAMPLE).collect()
+    """On a bounded sample: about ``SAMPLE`` vectors, by a bound on their hash."""
+    chance = F.pmod(F.xxhash64("v", F.lit(5)), F.lit(1 << 30)) / (1 << 30)
+    rows = vertices.filter(chance < min(1.0, SAMPLE / max(1, n))).select("x").collect()
     return Quantiser(np.array([np.frombuffer(r.x) for r in rows]), n, cosine)
 
 
