@@ -60,6 +60,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused_name(df: DataFrame, stem: str) -> str:
+    """A column name that the frame doesn't have yet, whatever the case."""
+    have = {c.lower() for c in df.columns}
+    return next(n for n in (f"{stem}{k or ''}" for k in range(len(have) + 1)) if n not in have)
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 

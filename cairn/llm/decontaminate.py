@@ -8,7 +8,9 @@ The patterns are sent to every task, so they come in parts of at most ``part_byt
 scanned once for each part and the hits are united, so a benchmark of any size is searched whole.
 
 Defined results: null text has no words, and neither does text of separators only; such documents are clean. A null
-item id is listed as ``null``; equal items count once per id. Without a benchmark every document is clean.
+item id is listed as ``null``; equal items count once per id. Without a benchmark every document is clean. Rows that repeat an
+id, or have none, are judged each by its own text; texts of any length are searched whole; extra columns, whatever their names, are ignored
+(kept by ``clean_rows``); empty tables give no row.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import staged
+from cairn.llm.common import staged, unused_name
 
 WINDOW, PART_BYTES = 13, 8_000_000
+#: A document is contaminated if at least one word in so many is hit.
+SHARE = 20
 #: Every byte that separates words becomes a space, A to Z become lower case.
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -150,8 +154,35 @@ def _count_either(all_marks: pd.Series) -> pd.Series:
     return all_marks.map(lambda xs: int(np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in xs]).sum()) if len(xs) else 0)
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The rows whose own text isn't contaminated, whatever their ids; all columns are kept.
+
+    A benchmark of one part filters rows in place, without shuffle; more parts are united by a number of each row.
+    """
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text"))
+    if len(_parts(items, part_bytes)) > 1:
+        row = unused_name(docs, "row")
+        rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+        found = decontaminate(rows.select(F.col(row).alias("doc_id"), "text"), benchmark, window=window, part_bytes=part_bytes)
+        return rows.join(found.filter("contaminated").select(F.col("doc_id").alias(row)).hint("merge"), row, "left_anti").select(docs.columns)
+    sent = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.collect()])  # at most part_bytes of text
+
+    @F.pandas_udf(T.BooleanType())
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        patterns = Patterns(sent.value, window)
+        for texts in batches:
+            out = []
+            for text in texts:
+                in_order = words(text)
+                n_hit = sum(patterns.search(in_order)[0])
+                out.append(not (n_hit and SHARE * n_hit >= len(in_order)))
+            yield pd.Series(out, dtype=bool)
+
+    return docs.filter(clean(F.col("text").cast("string")))
+
+
 def _judged(df: DataFrame) -> DataFrame:
-    return df.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return df.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
 
 
 def digest(items: DataFrame) -> DataFrame:

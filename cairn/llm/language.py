@@ -12,6 +12,7 @@ are read whole; of equally likely languages the first by name is taken; extra co
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -118,11 +119,27 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, float]:
     return languages, table, float(heat[int(np.argmin(loss))]) if len(truth) else 1.0
 
 
-def learned(docs: DataFrame) -> Callable[[F.Column], F.Column]:
-    """Language and score of a text (a struct of lang_pred and score), as a column function, learned from the fold."""
+@dataclass
+class Identifier:
+    """Gives language and score of a text (a struct of lang_pred and score) as a column; knows what it has learned."""
+
+    languages: list[str]
+    column: Callable[[F.Column], F.Column]
+
+    def __call__(self, text: F.Column) -> F.Column:
+        return self.column(text)
+
+    def least_score(self) -> float:
+        """Somewhat more than the least score that the best of so many languages can have: such texts are like none of them."""
+        return min(0.9, 1.2 / max(1, len(self.languages)))
+
+
+def learned(docs: DataFrame) -> Identifier:
+    """The identifier learned from the fold."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 4) != 2))
-    sent = docs.sparkSession.sparkContext.broadcast(train(known))  # bounded: n-grams times languages
+    trained = train(known)
+    sent = docs.sparkSession.sparkContext.broadcast(trained)  # bounded: n-grams times languages
 
     @F.pandas_udf("lang_pred string, score double")
     def found(texts: pd.Series) -> pd.DataFrame:
@@ -134,7 +151,7 @@ def learned(docs: DataFrame) -> Callable[[F.Column], F.Column]:
         pred = [languages[b] if h else "und" for b, h in zip(best.tolist(), has.tolist(), strict=True)]
         return pd.DataFrame({"lang_pred": pred, "score": np.where(has, p.max(axis=1), 0.0)})
 
-    return lambda text: found(text.cast("string"))
+    return Identifier(trained[0], lambda text: found(text.cast("string")))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ large at the deepest level is compared in blocks. Vertices of one component need
 the full sets of hashed shingles, read again from the texts of the vertices concerned.
 
 Defined results: null text, empty text and text without words have an empty set and link with nothing; a shorter text
-is one shingle; rows with equal ids each get their row; a null id is ignored in component_id unless all are null.
+is one shingle; rows with equal ids each get their row; a null id is ignored in component_id unless all are null; texts of
+any length are read whole; extra columns, whatever their names, are ignored; empty tables give no row.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import batches_by_chars, bounds, key_groups, mix64, staged
+from cairn.llm.common import batches_by_chars, bounds, key_groups, mix64, staged, unused_name
 from cairn.llm.components import components, neighbour_labels
 from cairn.llm.tokens import span_hashes
 
@@ -365,6 +366,20 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def one_of_each(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
+    """The rows that stay when of each group of near duplicates the one with the least id does, first by row where ids are equal or null.
+
+    Rows are told apart by a number of their own, so rows that repeat an id or have none are judged by their own text; texts
+    without words are in no group. All columns are kept.
+    """
+    row = unused_name(docs, "row")
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), percent=percent).select(F.col("doc_id").alias(row), "component_id")
+    named = rows.select(row, F.col("doc_id").alias("own")).join(groups.hint("merge"), row)
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull(), "own", row)).alias("one")).select(F.col(f"one.{row}").alias(row))
+    return rows.join(first.hint("merge"), row, "left_semi").select(docs.columns)
+
+
 def near_dup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract 9 over the whole of ``documents``."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
