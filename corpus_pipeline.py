@@ -1,4 +1,9 @@
-"""The corpus pipeline: documents without toxic, unidentified, near-duplicate and contaminated rows, packed into sequences."""
+"""The corpus pipeline: documents without toxic, unidentified, near-duplicate and contaminated rows, packed into sequences.
+
+Every stage judges each row by its own text. Defined results: null and empty texts are no language and go with the second stage; rows
+that repeat an id, or have none, stand for themselves; of equal or near-equal texts one row stays, whatever their ids; an empty table
+gives no row; texts of any length are read whole; other columns, whatever their names, are kept until the last stage.
+"""
 
 from __future__ import annotations
 
@@ -11,40 +16,29 @@ from pyspark.sql import functions as F
 from cairn.llm import decontaminate, language, near_dup, packing, toxicity
 from cairn.llm.common import staged
 
-#: Documents whose best language is less likely than this are rejected; the least possible of four is 0.25.
-LEAST_LANGUAGE_SCORE = 0.3
 #: Documents that share so many percent of their five-word shingles are near duplicates here.
 LEAST_SIMILARITY = 80
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The documents whose id isn't among the rejected ones; a null id is never rejected by it."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     score = toxicity.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.filter(score(F.col("text")) < toxicity.THRESHOLD)
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language.learned(docs)(F.col("text"))
-    return docs.filter((found["lang_pred"] != "und") & (found["score"] >= LEAST_LANGUAGE_SCORE))
+    """Texts without a letter, and texts whose best language is hardly likelier than any other."""
+    identifier = language.learned(docs)
+    found = identifier(F.col("text"))
+    return docs.filter((found["lang_pred"] != "und") & (found["score"] >= identifier.least_score()))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the least id, and of rows that share it the first by text."""
-    kept = _without(docs, near_dup.near_duplicates(docs, percent=LEAST_SIMILARITY).filter("not kept"))
-    same = staged(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"), "same_id")
-    if same.isEmpty():
-        return kept
-    once = kept.join(same, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(same, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+    """One document of each group stays: that with the least id."""
+    return near_dup.one_of_each(docs, percent=LEAST_SIMILARITY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.filter("contaminated"))
+    return decontaminate.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +53,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: Stages that learn, or search at random, have no SQL; the tests hold the pipeline against brute force.
+#: Stages that learn, or search at random, have no SQL; tests/llm holds the pipeline against brute force.
 ORACLE_SQL = None
 
 
