@@ -1,16 +1,19 @@
-"""Operator 2: main text of HTML pages by markup zones and a suffix array over each host's token streams.
+"""Operator 2: main text of HTML pages by a suffix array over each host's token streams, with markup zones.
 
 The parser cuts a page into blocks and gives each a zone: ``chrome`` (menus, headers, footers, sidebars, notices, adverts,
-forms, comments), ``body`` (inside an article or main element) or ``open`` (neither). Token streams of a
-host's blocks outside articles are dealt in shards; each shard's tokens are sorted as suffixes to the depth of the
-shortest run that counts, and prefixes that distinct pages share are gathered across shards. Open text that such runs cover is
-boilerplate and goes; unique runs of it stay.
+forms, comments), ``body`` (inside an article or main element) or ``open`` (neither). The token streams of a host's blocks outside
+articles are concatenated in shards and sorted as suffixes; neighbours of the suffix array that share ``RUN`` tokens (or a whole
+shorter block) and come from distinct pages are repeats, which are gathered across shards by their first tokens. (Every longer
+repeat is covered by such runs, and every position of it starts or lies in one.) Text that runs cover is boilerplate and
+goes; unique runs stay, unless markup calls them chrome. Body blocks are kept whole, since articles may quote or copy each other.
 
-Pure repetition can't give right results by itself: articles that quote or copy each other would lose text. So markup
-decides where it can, and repeated runs decide about the open zone only. Body blocks are kept whole.
+Where a page has no article and repeats cover all of its open text, the page is a copy of another one as a whole, and its open text is kept.
+
+``n_repeated`` counts a page's tokens outside articles that runs cover, ``n_chrome`` those that markup alone removes.
 
 Defined results: null html is an empty page; a page without text gives an empty string; repeated rows are a page each but
-count as one page when runs are counted (same page_id); a null page_id gets a row like any other; empty tables give no row.
+count as one page when runs are counted (same page_id); a null page_id gets a row like any other, a null url is a host of its own; pages
+of any length are read whole; extra columns, whatever their names, are ignored; empty tables give no row.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from cairn.llm.common import mix64, staged
 
 #: A repeated run must have this many tokens, or be a whole block.
 RUN = 8
+#: Characters outside articles that a shard of a host holds, or one page.
+SHARD = 4_000_000
 #: Elements by what they mean for the main text.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "title", "xmp", "noembed", "noframes")
@@ -40,30 +45,36 @@ _NAMES = re.compile(
     r"alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|social|share|sharing|related|recommend\w*|comments?|disqus|respons\w*|replies|reply|pagination|pager|toolbar|skip\w*|hidden)(?:$|[\s_-])"
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-_RAW_TEXT = re.compile(r"<(" + "|".join(_RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+#: Comments, declarations and elements whose content isn't markup: whichever begins first ends where it ends.
+_SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(" + "|".join(_RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: Names of what readers write.
+_READERS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|respons\w*|replies|reply)(?:$|[\s_-])")
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
-def is_chrome(name: str, attributes: str) -> bool:
-    """Whether an element holds what isn't main text, by its name, class, id or role."""
+def is_chrome(name: str, attributes: str, inside: bool = False) -> bool:
+    """Whether an element holds what isn't main text, by its name, class, id or role; inside: in an article.
+
+    The outermost article is chrome only if it is named as what readers write; one inside it may be any kind of chrome.
+    """
     if name in _CHROME:
         return True
     if not attributes.strip():
         return False
+    names = None if name in ("body", "html") else _READERS if name in ("article", "main") and not inside else _NAMES
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
             return True
-        if (key == "role" and value in _ROLES) or (key in ("class", "id") and name not in ("body", "html", "article", "main") and _NAMES.search(value)):
+        if (key == "role" and value in _ROLES) or (key in ("class", "id") and names and names.search(value)):
             return True
     return False
 
 
 def blocks(page: str | None) -> list[tuple[str, str]]:
     """(zone, text) of each block with text, in page order; references decoded, white space folded."""
-    page = _RAW_TEXT.sub(" ", _COMMENT.sub(" ", page or "") if page else "")
+    page = _SKIPPED.sub(" ", page or "")
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, opens chrome, opens the article
     chrome = article = 0
@@ -86,7 +97,7 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
             text.append(" ")
             continue
         # A page's or a section's header inside an article heads it; only elsewhere it is chrome.
-        marks = not m[1] and name not in _VOID and not (name == "header" and article) and is_chrome(name, m[3])
+        marks = not m[1] and name not in _VOID and not (name == "header" and article) and is_chrome(name, m[3], article > 0)
         body = name in ("article", "main")
         if name in _BLOCK or marks or any(n == name and c for n, c, _ in stack[-1:]):
             flush()
@@ -118,15 +129,16 @@ def tokens(text: str) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w) for w in text.split()], np.uint64)
 
 
-def suffix_order(stream: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of a token stream sorted by their suffixes to the given depth, and the ranks; by prefix doubling."""
+def suffix_array(stream: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of a token stream sorted by their suffixes to at least the given depth, and whether each equals its predecessor so far."""
     rank = np.unique(stream, return_inverse=True)[1].astype(np.int64)
     step = 1
     while step < depth:
         after = np.concatenate([rank[step:] + 1, np.zeros(min(step, len(rank)), np.int64)])[: len(rank)]
         rank = np.unique(rank * (len(rank) + 2) + after, return_inverse=True)[1].astype(np.int64)
         step *= 2
-    return np.argsort(rank, kind="stable"), rank
+    order = np.argsort(rank, kind="stable")
+    return order, np.concatenate([[False], rank[order][1:] == rank[order][:-1]])
 
 
 def _host() -> F.Column:
@@ -134,41 +146,56 @@ def _host() -> F.Column:
 
 
 def repeated_runs(parsed: DataFrame, run: int = RUN) -> DataFrame:
-    """Rows (host, prefix) of the suffix prefixes that at least two pages of a host share.
+    """Rows (host, prefix) of the runs of tokens that at least two pages of a host share; run: a power of two.
 
-    A host's streams are dealt by host and page into bounded shards, so that no host has to fit in one task. Equal prefixes of a
-    shard stand side by side in its suffix array and leave it as one row with the least and the largest page.
+    A host's streams are dealt into shards of a bounded size, so that no host has to fit in one task. A repeat leaves the suffix
+    array of its shard as one row with the least and the largest page, and so does each suffix without equal neighbours.
     """
-    names = F.col("page_key")
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for host, rows in pdf.groupby("host", sort=False):
-                streams, pages, lengths = [], [], []
-                for key, texts in zip(rows["page_key"], rows["outside"], strict=True):
-                    for text in texts:
-                        t = tokens(text)
-                        # The end mark is the block's own, so that no suffix runs on into the next block.
-                        streams += [t, np.array([len(streams)], np.uint64)]
-                        pages += [key] * (len(t) + 1)
-                        lengths += [*range(len(t), 0, -1), 0]
-                if not streams:
-                    continue
-                stream, pages, lengths = np.concatenate(streams), np.array(pages, np.int64), np.array(lengths)
-                order, rank = suffix_order(stream, 1 << (run - 1).bit_length())
-                prefix = _prefixes(stream, lengths, run)
-                starts_block = np.concatenate([[True], lengths[:-1] == 0])
-                counted = (lengths >= run) | (starts_block & (lengths > 0))
-                order = order[counted[order]]
-                frame = pd.DataFrame({"prefix": prefix[order].view(np.int64), "page": pages[order]})
-                found = frame.groupby("prefix", sort=False)["page"].agg(["min", "max"]).reset_index()
-                yield pd.DataFrame({"host": host, "prefix": found["prefix"], "low": found["min"], "high": found["max"]})
-
-    rows = parsed.select("host", names, "outside").filter(F.size("outside") > 0)
+            shard = pdf["outside"].map(lambda texts: sum(map(len, texts))).cumsum() // SHARD
+            for (host, _), rows in pdf.groupby(["host", shard], sort=False):
+                found = _shard(rows["page_key"].tolist(), rows["outside"].tolist(), run)
+                if found is not None:
+                    yield pd.DataFrame({"host": host, "prefix": found[0], "low": found[1], "high": found[2]})
+
+    rows = parsed.select("host", "page_key", "outside").filter(F.size("outside") > 0)
     found = rows.mapInPandas(sort, "host string, prefix long, low long, high long")
     return found.groupBy("host", "prefix").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("host", "prefix")
 
 
+def _shard(keys: list[int], pages_blocks: list, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """First tokens (hashed), least and largest page of each distinct run in the suffix array of some pages of a host."""
+    streams, pages, lengths = [], [], []
+    for key, texts in zip(keys, pages_blocks, strict=True):
+        for text in texts:
+            t = tokens(text)
+            # So many end marks that no run goes on into the next block, and a shorter block is a run of its own.
+            streams += [t, np.zeros(run, np.uint64)]
+            pages += [key] * (len(t) + run)
+            lengths += [*range(len(t), 0, -1), *[0] * run]
+    if not streams:
+        return None
+    stream, pages, lengths = np.concatenate(streams), np.array(pages, np.int64), np.array(lengths)
+    order, equal = suffix_array(stream, run)
+    counted = _counted(lengths, run)[order]
+    # Neighbours that share the run have the same number in this count; suffixes that don't count are left out.
+    same = np.cumsum(~equal)[counted]
+    order = order[counted]
+    if not len(order):
+        return None
+    starts = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
+    pages = pages[order]
+    return _prefixes(stream, lengths, run)[order[starts]].view(np.int64), np.minimum.reduceat(pages, starts), np.maximum.reduceat(pages, starts)
+
+
+def _counted(lengths: np.ndarray, run: int) -> np.ndarray:
+    """Suffixes with a whole run left, and the first one of each shorter block; lengths: tokens left of the block."""
+    first = np.concatenate([[True], lengths[:-1] <= 1])[: len(lengths)]
+    return (lengths >= run) | (first & (lengths > 0))
+
+
 def _prefixes(stream: np.ndarray, lengths: np.ndarray, run: int) -> np.ndarray:
     """Hash of the first ``run`` tokens of each suffix, or of the whole rest of its block where that is shorter."""
     n = np.minimum(lengths, run)
@@ -181,16 +208,15 @@ def _prefixes(stream: np.ndarray, lengths: np.ndarray, run: int) -> np.ndarray:
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """Rows with the page's blocks outside articles as token streams, and its kept and open blocks in order."""
+    """Rows with a page's blocks in order, their zones, and the text of those outside articles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             kept, zones, outside = [], [], []
             for page in pdf["html"]:
                 found = blocks(page)
-                main = [(z, t) for z, t in found if z != "chrome"]
-                kept.append([t for _, t in main])
-                zones.append("".join(z[0] for z, _ in main))
+                kept.append([t for z, t in found if z == "body"])
+                zones.append("".join(z[0] for z, _ in found))
                 outside.append([t for z, t in found if z != "body"])
             yield pdf[["row", "no_id", "url", "host", "page_key"]].assign(kept=kept, zones=zones, outside=outside)
 
@@ -207,52 +233,62 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, schema)
 
 
+def _joined(kept: list[str], zones: str, outside: list[str], hits: set[int], run: int) -> tuple[str, int, int]:
+    """Main text, tokens outside articles that runs cover, and others that markup calls chrome; hits: the positions where runs start."""
+    body, out, spare, n_repeated, n_chrome, at = iter(kept), [], [], 0, 0, 0
+    others = iter(outside)
+    for zone in zones:
+        if zone == "b":
+            out.append(next(body))
+            continue
+        text = next(others)
+        words = text.split()
+        covered = np.zeros(len(words), bool)
+        for a in range(len(words)) if hits else ():
+            if at + a in hits:
+                covered[a : a + run] = True
+        at += len(words)
+        n_repeated += int(covered.sum())
+        if zone == "c":
+            n_chrome += int((~covered).sum())
+            continue
+        spare.append(text)
+        text = " ".join(w for w, c in zip(words, covered.tolist(), strict=True) if not c)
+        if text:
+            out.append(text)
+    return "\n".join(out or spare), n_repeated, n_chrome
+
+
 def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
-    """Rows (page_id, url, text, n_chars)."""
+    """Rows (page_id, url, text, n_chars, n_repeated, n_chrome)."""
     parsed = staged(parse_pages(pages), "parsed")
-    opened = parsed.filter(F.contains("zones", F.lit("o")))
-    # Only hosts of pages with open blocks need runs; which of their prefixes repeat is asked prefix by prefix.
-    hosts = opened.select("host").distinct()
-    runs = repeated_runs(parsed.join(hosts.hint("merge"), "host", "left_semi"), run)
+    runs = staged(repeated_runs(parsed, run), "runs")  # so that the join below can split a hot host's runs
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Runs of each page outside articles, by the number of their first token."""
         for pdf in batches:
-            for key, host, page, zones, kept in zip(pdf["key"], pdf["host"], pdf["page_key"], pdf["zones"], pdf["kept"], strict=True):
-                for b, (zone, text) in enumerate(zip(zones, kept, strict=True)):
-                    t = tokens(text) if zone == "o" else np.zeros(0, np.uint64)
-                    if len(t):
-                        left = np.arange(len(t), 0, -1)
-                        asked = (left >= run) | (np.arange(len(t)) == 0)
-                        prefix = _prefixes(t, left, run)[asked]
-                        yield pd.DataFrame({"key": key, "host": host, "block": b, "at": np.flatnonzero(asked), "prefix": prefix.view(np.int64)})
-
-    keyed = opened.select(F.xxhash64("host", "page_key", "zones", "kept").alias("key"), "host", "page_key", "zones", "kept")
-    asked = keyed.mapInPandas(ask, "key long, host string, block int, at int, prefix long").distinct()
-    hit = asked.join(runs.hint("merge"), ["host", "prefix"]).groupBy("key", "block").agg(F.collect_set("at").alias("at"))
-    hit = hit.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("block", "at"))).alias("hits"))
+            for key, host, outside in zip(pdf["key"], pdf["host"], pdf["outside"], strict=True):
+                streams = [tokens(t) for t in outside]
+                left = np.concatenate([np.arange(len(t), 0, -1) for t in streams])
+                asked = _counted(left, run)
+                prefix = _prefixes(np.concatenate(streams), left, run)[asked]
+                yield pd.DataFrame({"key": key, "host": host, "at": np.flatnonzero(asked).astype(np.int32), "prefix": prefix.view(np.int64)})
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = []
-            for kept, zones, hits in zip(pdf["kept"], pdf["zones"], pdf["hits"], strict=True):
-                hits, out = dict(hits) if hits is not None else {}, []
-                for b, (zone, text) in enumerate(zip(zones, kept, strict=True)):
-                    if zone == "o" and b in hits:
-                        words = text.split()
-                        keep = np.ones(len(words), bool)
-                        for a in hits[b]:
-                            keep[a : a + run] = False
-                        text = " ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k)
-                    if text:
-                        out.append(text)
-                texts.append("\n".join(out))
-            yield pd.DataFrame({"row": pdf["row"], "no_id": pdf["no_id"], "url": pdf["url"], "text": texts})
-
-    whole = parsed.withColumn("key", F.xxhash64("host", "page_key", "zones", "kept")).select("row", "no_id", "url", "kept", "zones", "key")
-    settled = whole.filter(~F.contains("zones", F.lit("o"))).select("row", "no_id", "url", F.array_join("kept", "\n").alias("text"))
-    mixed = whole.filter(F.contains("zones", F.lit("o"))).join(hit.hint("merge"), "key", "left").mapInPandas(join, "row long, no_id boolean, url string, text string")
-    both = settled.unionByName(mixed)
-    return both.select(F.when(~F.col("no_id"), F.col("row")).alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+            found = [
+                _joined(list(kept), zones, list(outside), set() if hits is None else set(hits), run)
+                for kept, zones, outside, hits in zip(pdf["kept"], pdf["zones"], pdf["outside"], pdf["hits"], strict=True)
+            ]
+            out = pd.DataFrame(found, columns=["text", "n_repeated", "n_chrome"])
+            yield pd.concat([pdf[["row", "no_id", "url"]].reset_index(drop=True), out], axis=1)
+
+    whole = parsed.withColumn("key", F.xxhash64("host", "page_key", "zones", "outside"))
+    with_text = whole.filter(F.size("outside") > 0)
+    asked = with_text.select("key", "host", "outside").mapInPandas(ask, "key long, host string, at int, prefix long").distinct()
+    hit = asked.join(runs.hint("merge"), ["host", "prefix"]).groupBy("key").agg(F.collect_set("at").alias("hits"))
+    out = whole.join(hit.hint("merge"), "key", "left").mapInPandas(join, "row long, no_id boolean, url string, text string, n_repeated long, n_chrome long")
+    return out.select(F.when(~F.col("no_id"), F.col("row")).alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_repeated", "n_chrome")
 
 
 def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
