@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
@@ -15,6 +17,7 @@ MIN_SIZE, TARGET_SIZE, MAX_SIZE = 32 * 1024, 128 * 1024, 512 * 1024
 GEAR_SEED = "QBX-GEAR-{}"
 
 
+@functools.cache
 def gear(target: int) -> np.ndarray:
     """The gear value of each byte modulo the target size, a power of two."""
     if target & (target - 1):
@@ -40,6 +43,24 @@ def cuts(data: bytes, least: int = MIN_SIZE, target: int = TARGET_SIZE, most: in
     return out
 
 
+def stream(source: BinaryIO, least: int = MIN_SIZE, target: int = TARGET_SIZE, most: int = MAX_SIZE, window: int = 4 << 20) -> Iterator[bytes]:
+    """The chunks of a file of any size, with little more than a window of it in memory.
+
+    A chunk's end depends on its own bytes only, so every chunk but the last of a window is final.
+    """
+    held, ended = b"", False
+    while not ended:
+        more = source.read(max(window, 2 * most))
+        ended = not more
+        held += more
+        ends = cuts(held, least, target, most) if held else []
+        at = 0
+        for end in ends if ended else ends[:-1]:
+            yield held[at:end]
+            at = end
+        held = held[at:]
+
+
 def chunk(entries: DataFrame, *, least: int = MIN_SIZE, target: int = TARGET_SIZE, most: int = MAX_SIZE) -> DataFrame:
     """Rows (path, seq, start, stop, raw) of (path, content) entries; an empty entry has none."""
 

@@ -54,7 +54,7 @@ def global_plan(blocks: list[list[tuple[int, int, int]]], raw_sizes: list[int],
     stepwise. The best state of a bucket represents it, so the plan is a heuristic and a failure no proof.
     """
     if not blocks:
-        return {"selection": (), "stored": 0, "encode": 0, "decode": 0, "score": 0.0}
+        return {"selection": (), "stored": 0, "encode": 0, "decode": 0, "score": 0.0, "size_budget": max_size, "decode_budget": max_decode, "baseline_stored": 0, "baseline_decode": 0, "peak_states": 0}
     raw, enc, dec = max(1, sum(raw_sizes)), max(1, sum(max(c[1] for c in b) for b in blocks)), max(1, sum(max(c[2] for c in b) for b in blocks))
     base = [min(range(len(b)), key=lambda k, b=b: (*b[k][:1], b[k][1], b[k][2], k)) for b in blocks]
     size, decode = (sum(b[k][j] for b, k in zip(blocks, base, strict=True)) for j in (0, 2))
@@ -63,7 +63,7 @@ def global_plan(blocks: list[list[tuple[int, int, int]]], raw_sizes: list[int],
     for factor in (1.0,) if max_decode else (1.0, 1.1, 1.25, 1.5, 2.0, 4.0):
         budget = int(first * factor)
         unit_s, unit_d = max(1, size_budget // 2048), max(1, budget // 2048)
-        states = {(0, 0): (0.0, 0, 0, 0, ())}
+        states, peak = {(0, 0): (0.0, 0, 0, 0, ())}, 1
         for b in blocks:
             new: dict = {}
             for score, s, d, e, chosen in states.values():
@@ -81,13 +81,14 @@ def global_plan(blocks: list[list[tuple[int, int, int]]], raw_sizes: list[int],
                     kept[key] = st
                     low_score, low_decode = min(low_score, st[0]), min(low_decode, st[2])
             states = dict(sorted(kept.items(), key=lambda x: x[1][:4])[:beam])
+            peak = max(peak, len(states))
         if states:
             score, s, d, e, chain = min(states.values(), key=lambda x: x[:4])
             chosen = []
             while chain:
                 chain, k = chain
                 chosen.append(k)
-            return {"selection": tuple(reversed(chosen)), "stored": s, "encode": e, "decode": d, "score": score, "size_budget": size_budget, "decode_budget": budget}
+            return {"selection": tuple(reversed(chosen)), "stored": s, "encode": e, "decode": d, "score": score, "size_budget": size_budget, "decode_budget": budget, "baseline_stored": size, "baseline_decode": decode, "peak_states": peak}
     raise ValueError("no plan found within the goals")
 
 

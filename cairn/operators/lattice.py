@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.codecs import deflated, xor_delta
+from cairn.staging import staged
 
 # Blocks of a group, edges searched, edges kept, simultaneous losses, and bytes charged for an edge's record.
 GROUP, FRONTIER, MOST_EDGES, LOSSES, OVERHEAD = 7, 14, 8, 2, 96
@@ -18,14 +19,16 @@ GROUP, FRONTIER, MOST_EDGES, LOSSES, OVERHEAD = 7, 14, 8, 2, 96
 def global_position(rows: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
     """Position of each row in a total order without a single-partition window: range partitions plus their offsets.
 
-    ``order`` must be unique. Only one count per partition is put together in one place.
+    ``order`` must be unique. The range partitions are written once, with the number of each row in its partition, so that rows and
+    counts come from the same deal. Only one count per partition is put together in one place.
     """
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    local = dealt.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = local.groupBy("__part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = local.join(F.broadcast(before.select("__part", "before")), "__part")
-    return out.withColumn(name, (F.col("before") + F.col("__in") - 1).cast("long")).drop("__part", "__in", "before")
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    dealt = staged(dealt, "position")  # the upper bits of __id are the partition, the lower 33 the number in it
+    part, within = F.shiftright("__id", 33).alias("__part"), F.col("__id").bitwiseAND((1 << 33) - 1)
+    sizes = dealt.groupBy(part).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = dealt.withColumn("__part", part).join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part")
+    return out.withColumn(name, (F.col("__before") + within).cast("long")).drop("__part", "__id", "__before")
 
 
 def size_groups(blocks: DataFrame, size: str, key: str, n: int = GROUP) -> DataFrame:
@@ -50,19 +53,13 @@ def deltas(pairs_with_raw: DataFrame) -> DataFrame:
 
 def kruskal(edges: list[tuple[int, str, str]], nodes: set[str]) -> list[tuple[int, str, str]]:
     """Minimum spanning tree in (cost, a, b) order; empty if the nodes can't be spanned."""
-    parent = {v: v for v in nodes}
-
-    def find(x: str) -> str:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    side = {v: {v} for v in nodes}  # the nodes that are tied to each so far, one set object per tree
     tree = []
     for e in sorted(edges):
-        a, b = find(e[1]), find(e[2])
-        if a != b:
-            parent[a] = b
+        one, two = side[e[1]], side[e[2]]
+        if one is not two:
+            one |= two
+            side.update(dict.fromkeys(two, one))
             tree.append(e)
     return tree if len(tree) == len(nodes) - 1 else []
 
@@ -140,6 +137,20 @@ def plan(edges: DataFrame, budgets: DataFrame) -> DataFrame:
     return edges.join(budgets, "group_id").groupBy("group_id").applyInPandas(run, edges.select("group_id", "a", "b", "cost").schema)
 
 
+def report(grouped: DataFrame, costs: DataFrame, kept: DataFrame, budgets: DataFrame, percent: float) -> dict:
+    """Totals of a lattice and a row per group: its nodes, edges that could be and were chosen, budget and bytes."""
+    nodes = grouped.groupBy("group_id").agg(F.count("*").alias("nodes")).filter("nodes > 1")
+    could = costs.groupBy("group_id").agg(F.count("*").alias("candidate_edges"))
+    chosen = kept.groupBy("group_id").agg(F.count("*").alias("selected_edges"), F.sum("cost").cast("long").alias("selected_bytes"))
+    rows = nodes.join(could, "group_id", "left").join(chosen, "group_id", "left").join(budgets.withColumnRenamed("budget", "byte_budget"), "group_id", "left")
+    groups = [r.asDict() for r in rows.orderBy("group_id").drop("group_id").na.fill(0).collect()]
+    ends = kept.select(F.explode(F.array("a", "b")).alias("v"))
+    return {
+        "name": "ARK", "version": 2, "group_size": GROUP, "candidate_limit": FRONTIER, "max_edges_per_group": MOST_EDGES, "failure_depth": LOSSES, "repair_budget_pct": percent,
+        "protected_blocks": ends.distinct().count(), "repair_edges": sum(g["selected_edges"] for g in groups), "repair_records": kept.select("repair_hash").distinct().count(), "groups": groups,
+    }
+
+
 def recover(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows (v, round): healthy blocks (round 0) and those reached over intact edges; nodes: group_id, v, ok.
 
