@@ -61,6 +61,12 @@ def stream(source: BinaryIO, least: int = MIN_SIZE, target: int = TARGET_SIZE, m
         held = held[at:]
 
 
+def spread(entries: DataFrame) -> DataFrame:
+    """Entries in as many partitions as there are cores, where a small table comes in fewer; larger ones stay as they are, without shuffle."""
+    cores = entries.sparkSession.sparkContext.defaultParallelism
+    return entries if entries.rdd.getNumPartitions() >= cores else entries.repartition(cores)
+
+
 def chunk(entries: DataFrame, *, least: int = MIN_SIZE, target: int = TARGET_SIZE, most: int = MAX_SIZE) -> DataFrame:
     """Rows (path, seq, start, stop, raw) of (path, content) entries; an empty entry has none."""
 

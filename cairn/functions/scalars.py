@@ -28,7 +28,7 @@ def human_bytes(n: Column) -> Column:
     """1024 steps with two decimals, exact halves to even; plain bytes with dots between thousands."""
     out = F.concat(F.replace(F.format_number(n, 0), F.lit(","), F.lit(".")), F.lit(" B"))
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        scaled = F.bround(n.cast("decimal(20,0)") / F.lit(1024**k).cast("decimal(18,0)").cast("decimal(18,0)"), 2)
+        scaled = F.bround(n.cast("decimal(20,0)") / F.lit(1024**k).cast("decimal(18,0)"), 2)
         out = F.when(n >= 1024**k, F.concat(scaled.cast("decimal(20,2)").cast("string"), F.lit(f" {unit}"))).otherwise(out)
     return out
 

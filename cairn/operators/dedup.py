@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def blocks(refs: DataFrame) -> DataFrame:
-    """One row per distinct block with its first occurrence (path, seq) and number of references."""
-    return refs.groupBy("block_hash").agg(
-        F.min(F.struct("path", "seq")).alias("first_ord"), F.count("*").alias("n_refs"), F.max(F.length("raw")).alias("raw_size"), F.any_value("raw").alias("raw")
-    )
-
-
 def stats(refs: DataFrame, by: list[str]) -> DataFrame:
     """References, unique blocks, bytes, unique bytes and what deduplication saves; two-step, so no hot group is collected."""
     per_block = refs.groupBy(*by, "block_hash").agg(F.count("*").alias("n"), F.max(F.length("raw")).cast("long").alias("size"))
@@ -22,13 +19,19 @@ def stats(refs: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def reassemble(refs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Content of each entry in order; a reference without block makes it null."""
-    joined = refs.select("path", "seq", "block_hash").join(blocks.select("block_hash", "raw"), "block_hash", "left")
-    whole = F.array_sort(F.collect_list(F.struct("seq", "raw")))
-    return joined.groupBy("path").agg(whole.alias("c"), F.count_if(F.col("raw").isNull()).alias("missing")).select(
-        "path", F.when(F.col("missing") == 0, F.aggregate("c", F.lit(b""), lambda a, x: F.concat(a, x["raw"]))).alias("content"), "missing"
-    )
+def tree_hash(entries: DataFrame) -> DataFrame:
+    """One hash (tree_hash) over (path, content) in path order, row by row in one task, so that memory holds a batch at most."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest, n = hashlib.sha256(), 0
+        for pdf in batches:
+            for path, data in zip(pdf["path"], pdf["content"], strict=True):
+                digest.update(path.encode() + (data or b""))
+            n += len(pdf)
+        if n:
+            yield pd.DataFrame({"tree_hash": [digest.hexdigest()]})
+
+    return entries.select("path", "content").orderBy("path", "content").coalesce(1).mapInPandas(run, "tree_hash string")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:

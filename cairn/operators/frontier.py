@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: bytes that a release must save on its best benchmark.
+GATE = 32
+
 
 def pareto(candidates: DataFrame, group: str, goals: list[str], row: list[str]) -> DataFrame:
     """Rows that none of their group dominates (no worse in all goals, better in one); exact ties stay."""
@@ -39,9 +44,7 @@ def weighted(candidates: DataFrame, totals: DataFrame, stored: str, encode: str,
 
 def classical_plan(strategies: DataFrame, *, size: float = 1.0, time: float = 0.0, memory: float = 0.0, max_decode_ms: float | None = None, max_memory_mb: float | None = None) -> DataFrame:
     """Per group the feasible strategy with the least weighted objective, the first by ord on ties; infeasible groups have null ord."""
-    ok = F.lit(True)
-    for bound, c in ((max_decode_ms, "decode_ms"), (max_memory_mb, "memory_mb")):
-        ok = ok if bound is None else ok & (F.col(c) <= bound)
+    ok = within(("decode_ms", max_decode_ms), ("memory_mb", max_memory_mb))
     objective = size * F.col("size") + time * F.col("decode_ms") + memory * F.col("memory_mb")
     best = strategies.groupBy("group_id").agg(F.min(F.when(ok, F.struct(objective.alias("objective"), F.col("ord")))).alias("m"))
     return best.select("group_id", F.col("m.ord").alias("ord"), F.col("m.objective").alias("objective"))
@@ -114,3 +117,59 @@ def energy(groups: list[list[float]], penalty: float, chosen: np.ndarray) -> flo
         total += float(np.dot(bits, g) + penalty * (1 - bits.sum()) ** 2)
         at += len(g)
     return total
+
+
+def qubo_energy(coefficients: DataFrame, top: DataFrame, bits: DataFrame) -> DataFrame:
+    """One row (energy) of a bit vector (var, bit): what the coefficients of its pairs of ones add up to, and the constant."""
+    ones = bits.filter("bit = 1")
+    both = coefficients.join(ones.select(F.col("var").alias("i")), "i", "left_semi").join(ones.select(F.col("var").alias("j")), "j", "left_semi")
+    return both.agg(F.coalesce(F.sum("coef"), F.lit(0.0)).alias("e")).crossJoin(top.select("constant")).select((F.col("e") + F.col("constant")).alias("energy"))
+
+
+def within(*bounds: tuple[str, float | None]) -> Column:
+    """Whether each column keeps its bound; None is no bound."""
+    return reduce(lambda x, b: x & (F.col(b[0]) <= b[1]), (b for b in bounds if b[1] is not None), F.lit(True))
+
+
+def exhaustive_plan(choices: DataFrame, groups: list[str], budget: float) -> DataFrame:
+    """Rows (problem, best, plans): the least cost of all products of choices within the budget, and their number.
+
+    choices: problem, grp, cost, load; one choice is taken for each group that a problem has. Groups are few and so are a group's choices.
+    """
+    plans = choices.select("problem").distinct().withColumns({"c": F.lit(0.0), "l": F.lit(0.0)})
+    for g in groups:
+        plans = plans.join(choices.filter(F.col("grp") == g).select("problem", "cost", "load"), "problem", "left")
+        plans = plans.select("problem", (F.col("c") + F.coalesce("cost", F.lit(0.0))).alias("c"), (F.col("l") + F.coalesce("load", F.lit(0.0))).alias("l"))
+    return plans.filter(F.round("l", 2) <= budget).groupBy("problem").agg(F.round(F.min("c"), 2).alias("best"), F.count("*").alias("plans"))
+
+
+def decode_one_hot(bits: Column) -> Column:
+    """Number of the one choice that a group's bit string makes, from 1; null unless exactly one bit is set."""
+    return F.when(F.length(F.replace(bits, F.lit("0"))) == 1, F.instr(bits, "1"))
+
+
+def by_key(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by a key to as many tasks as are set for shuffles: groups whose work is large for their bytes mustn't be merged."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def plan_parts(rows: DataFrame, *, beam: int = 128) -> DataFrame:
+    """The global plan of each part by itself: (part, block, ord, stored, decode) as chosen; rows: part, block, ord, stored, encode, decode.
+
+    Many small plans need fewer states each than one large plan.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        blocks = [g.sort_values(["stored", "encode", "decode", "ord"]) for _, g in pdf.groupby("block", sort=True)]
+        found = global_plan([list(g[["stored", "encode", "decode"]].itertuples(index=False, name=None)) for g in blocks], [int(g["stored"].max()) for g in blocks], beam=beam)
+        return pd.concat([g.iloc[[k]] for g, k in zip(blocks, found["selection"], strict=True)])[["part", "block", "ord", "stored", "decode"]]
+
+    return by_key(rows, "part").groupBy("part").applyInPandas(run, rows.select("part", "block", "ord", "stored", "decode").schema)
+
+
+def release_gate(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
+    """One row (best, passed) of two reports (name, size): no benchmark may grow, and the best must save at least ``GATE`` bytes."""
+    c = candidate.select(F.col("name").alias("other"), F.col("size").alias("now"))
+    saved = F.col("size") - F.col("now")
+    both = baseline.join(c, F.col("name").eqNullSafe(F.col("other")))
+    return both.agg(F.max(saved).alias("best"), (F.every(saved >= 0) & (F.max(saved) >= GATE)).alias("passed"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.codecs import deflated, xor_delta
+from cairn.operators.frontier import by_key
 from cairn.staging import staged
 
 # Blocks of a group, edges searched, edges kept, simultaneous losses, and bytes charged for an edge's record.
@@ -123,7 +124,14 @@ def mst(edges: DataFrame) -> DataFrame:
         found = kruskal(rows, set(pdf["a"]) | set(pdf["b"]))
         return pd.DataFrame([(key[0], a, b, c) for c, a, b in found], columns=["group_id", "a", "b", "cost"])
 
-    return edges.groupBy("group_id").applyInPandas(run, edges.select("group_id", "a", "b", "cost").schema)
+    return by_key(edges, "group_id").groupBy("group_id").applyInPandas(run, edges.select("group_id", "a", "b", "cost").schema)
+
+
+def frontier_edges(edges: DataFrame, tree: DataFrame) -> DataFrame:
+    """The edges of each group that are searched, with their rank: those of the spanning tree, then the cheapest others."""
+    marked = edges.join(tree.select("group_id", "a", "b", F.lit(True).alias("in_tree")), ["group_id", "a", "b"], "left")
+    rank = F.row_number().over(Window.partitionBy("group_id").orderBy(F.col("in_tree").isNull(), "cost", "a", "b"))
+    return marked.withColumn("rk", rank).filter(F.col("rk") <= FRONTIER).select("group_id", "a", "b", "cost", "rk")
 
 
 def plan(edges: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -134,7 +142,7 @@ def plan(edges: DataFrame, budgets: DataFrame) -> DataFrame:
         found = plan_group(rows, sorted(set(pdf["a"]) | set(pdf["b"])), int(pdf["budget"].iloc[0]))
         return pd.DataFrame([(key[0], a, b, c) for c, a, b in found], columns=["group_id", "a", "b", "cost"])
 
-    return edges.join(budgets, "group_id").groupBy("group_id").applyInPandas(run, edges.select("group_id", "a", "b", "cost").schema)
+    return by_key(edges.join(budgets, "group_id"), "group_id").groupBy("group_id").applyInPandas(run, edges.select("group_id", "a", "b", "cost").schema)
 
 
 def report(grouped: DataFrame, costs: DataFrame, kept: DataFrame, budgets: DataFrame, percent: float) -> dict:

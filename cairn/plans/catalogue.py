@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import chunking, codecs, scalars
 from cairn.operators import dedup, frontier, lattice
+from cairn.plans import bridge, store
 from cairn.sources import archive
 from cairn.streaming import incremental
 
@@ -42,7 +43,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _refs(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.refs(chunking.chunk(_docs(spark, d), **SIZES))
+    return chunking.refs(chunking.chunk(chunking.spread(_docs(spark, d)), **SIZES))
 
 
 _P = "concat_ws('/', 'documents', lang, doc_id || '.txt')"
@@ -93,7 +94,8 @@ def dedup_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(_CHUNKS + f"SELECT lang, {_STATS} FROM (SELECT lang, block_hash, count(*) n, max(size) size FROM chunks GROUP BY 1, 2) GROUP BY 1")
 def dedup_stats_by_lang(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.stats(_refs(spark, d).withColumn("lang", F.split_part("path", F.lit("/"), F.lit(2))), ["lang"])
+    steps = F.split("path", "/")
+    return dedup.stats(_refs(spark, d).withColumn("lang", F.when(F.size(steps) == 3, steps[1])), ["lang"])
 
 
 @_query(f"SELECT sha256(coalesce(text,'')) AS sha256, count(*)::BIGINT AS n, min({_P}) AS first_path FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -120,7 +122,7 @@ _MASK = "doc_id % 5 = 0"
 @_query(f"SELECT count(*)::BIGINT AS n_blocks, count_if({_MASK})::BIGINT AS damaged, count_if(NOT ({_MASK}))::BIGINT AS intact, bool_and(NOT ({_MASK})) AS healthy FROM documents")
 def integrity_counts(spark: SparkSession, d: str) -> DataFrame:
     stored = _docs(spark, d).withColumn("hash", F.sha2("content", 256)).withColumn("now", F.when(F.expr(_MASK), F.concat("content", F.lit(b"!"))).otherwise(F.col("content")))
-    bad = F.sha2("now", 256) != F.col("hash")
+    bad = archive.status(F.col("now"), F.col("hash")) != "ok"
     return stored.agg(F.count("*").alias("n_blocks"), F.count_if(bad).alias("damaged"), F.count_if(~bad).alias("intact"), F.every(~bad).alias("healthy"))
 
 
@@ -140,12 +142,10 @@ def manifest_violations(spark: SparkSession, d: str) -> DataFrame:
     return archive.manifest_violations(pages)
 
 
-@_query(f"SELECT sha256(string_agg({_P} || coalesce(text,''), '' ORDER BY {_P})) AS tree_hash FROM documents WHERE lang IS NOT NULL")
+@_query(f"SELECT sha256(string_agg({_P} || coalesce(text,''), '' ORDER BY {_P}, coalesce(text,''))) AS tree_hash FROM documents")
 def tree_hash(spark: SparkSession, d: str) -> DataFrame:
-    """One hash over the whole tree: SHA-256 isn't mergeable, so one task reads everything, as in the definition."""
-    docs = _docs(spark, d).filter("lang is not null")
-    whole = F.expr("listagg(concat(cast(path as binary), content)) within group (order by path)")
-    return docs.agg(F.sha2(whole, 256).alias("tree_hash"))
+    """One hash over the whole tree: SHA-256 isn't mergeable, so one task reads everything, as in the definition, row by row."""
+    return dedup.tree_hash(_docs(spark, d))
 
 
 # Choice among representations, over line items
@@ -254,23 +254,49 @@ def qubo_constant(spark: SparkSession, d: str) -> DataFrame:
     return frontier.qubo(_costs(spark, d))[1]
 
 
-@_query("SELECT a.l_orderkey, min(a.l_quantity + b.l_quantity)::DOUBLE AS best FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber GROUP BY 1")
+_FLAGS = " ".join(f"LEFT JOIN (SELECT l_orderkey, l_quantity q{f}, l_tax t{f} FROM lineitem WHERE l_returnflag = '{f}') {f} USING (l_orderkey)" for f in "ANR")
+
+
+@_query(f"SELECT l_orderkey AS problem, round(min(c), 2) AS best, count(*)::BIGINT AS plans FROM (SELECT l_orderkey, {' + '.join(f'coalesce(q{f},0)' for f in 'ANR')} c, {' + '.join(f'coalesce(t{f},0)' for f in 'ANR')} t FROM (SELECT DISTINCT l_orderkey FROM lineitem) {_FLAGS}) WHERE round(t, 2) <= 0.12 GROUP BY 1")
 def exhaustive_min(spark: SparkSession, d: str) -> DataFrame:
-    """The cheapest of all pairs of choices within an order; orders have a handful of lines."""
-    a, b = _read(spark, d, "lineitem").alias("a"), _read(spark, d, "lineitem").alias("b")
-    both = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_linenumber") < F.col("b.l_linenumber")))
-    return both.groupBy("a.l_orderkey").agg(F.min(F.col("a.l_quantity") + F.col("b.l_quantity")).alias("best"))
+    """Of all products of choices (one line for each return flag of an order) within a tax budget, the cheapest."""
+    choices = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("problem"), F.col("l_returnflag").alias("grp"), F.col("l_quantity").alias("cost"), F.col("l_tax").alias("load"))
+    return frontier.exhaustive_plan(choices, ["A", "N", "R"], 0.12)
 
 
-@_query("SELECT l_orderkey, count_if(l_linenumber % 2 = 0)::BIGINT AS ones, count_if(l_linenumber % 2 = 0) = 1 AS valid FROM lineitem GROUP BY 1")
+@_query("WITH b AS (SELECT l_orderkey, string_agg(CASE WHEN l_returnflag = 'R' THEN '1' ELSE '0' END, '' ORDER BY l_linenumber, CASE WHEN l_returnflag = 'R' THEN '1' ELSE '0' END) AS bits FROM lineitem GROUP BY 1) SELECT l_orderkey, bits, length(replace(bits, '0', '')) = 1 AS valid, CASE WHEN length(replace(bits, '0', '')) = 1 THEN instr(bits, '1') END::INT AS chosen FROM b")
 def one_hot_valid(spark: SparkSession, d: str) -> DataFrame:
-    ones = F.count_if(F.col("l_linenumber") % 2 == 0)
-    return _read(spark, d, "lineitem").groupBy("l_orderkey").agg(ones.alias("ones"), (ones == 1).alias("valid"))
+    """A bit string per order, decoded to the one representation that it chooses."""
+    bit = F.when(F.col("l_returnflag") == "R", "1").otherwise("0")
+    rows = _read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", bit.alias("bit")))).alias("b"))
+    bits = rows.select("l_orderkey", F.array_join(F.transform("b", lambda x: x["bit"]), "").alias("bits"))
+    chosen = frontier.decode_one_hot(F.col("bits"))
+    return bits.select("l_orderkey", "bits", chosen.isNotNull().alias("valid"), chosen.alias("chosen"))
+
+
+_ONE_EACH = "SELECT l_orderkey g, l_linenumber o, min(l_quantity) cost, bool_or(l_returnflag = 'R') flag FROM lineitem GROUP BY 1, 2"
+
+
+@_query(f"WITH c AS ({_ONE_EACH}), p AS (SELECT max(abs(cost))*10+1 penalty FROM c), e AS (SELECT g, sum(CASE WHEN flag THEN cost ELSE 0 END) s, count_if(flag) ones FROM c GROUP BY 1) SELECT round(sum(s + penalty*(1-ones)*(1-ones)), 4) AS energy FROM e, p")
+def qubo_energy(spark: SparkSession, d: str) -> DataFrame:
+    """Energy of one bit vector by the coefficients."""
+    lines = _read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("group_id"), F.col("l_linenumber").alias("ord"))
+    lines = lines.agg(F.min("l_quantity").alias("cost"), F.max((F.col("l_returnflag") == "R").cast("int")).alias("bit"))
+    bits = lines.select(F.concat_ws("_", F.lit("x"), "group_id", "ord").alias("var"), "bit")
+    return frontier.qubo_energy(*frontier.qubo(lines.drop("bit")), bits).select(F.round("energy", 4).alias("energy"))
 
 
 @_query("SELECT l_orderkey, count_if(l_quantity <= 30 AND l_extendedprice <= 40000)::BIGINT AS feasible FROM lineitem GROUP BY 1")
 def budget_feasible(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_if((F.col("l_quantity") <= 30) & (F.col("l_extendedprice") <= 40000)).alias("feasible"))
+    return _read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_if(frontier.within(("l_quantity", 30), ("l_extendedprice", 40000))).alias("feasible"))
+
+
+@_query()
+def adaptive_plan(spark: SparkSession, d: str) -> DataFrame:
+    """The global plan in parts: a customer's orders are blocks, their lines representations; chosen line and totals."""
+    lines = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("block"), F.col("l_linenumber").alias("ord"), F.col("l_partkey").cast("long").alias("stored"), F.col("l_quantity").cast("long").alias("encode"), F.col("l_suppkey").cast("long").alias("decode"))
+    orders = _read(spark, d, "orders").select(F.col("o_orderkey").alias("block"), F.col("o_custkey").alias("part"))
+    return frontier.plan_parts(lines.join(orders, "block"))
 
 
 # Lattice and recovery, over documents by size
@@ -281,8 +307,8 @@ def _grouped(spark: SparkSession, d: str) -> DataFrame:
     return lattice.size_groups(sized, "n_chars", "key")
 
 
-def _edges(spark: SparkSession, d: str) -> DataFrame:
-    met = lattice.pairs(_grouped(spark, d), "key", "n_chars")
+def _edges(spark: SparkSession, d: str, grouped: DataFrame | None = None) -> DataFrame:
+    met = lattice.pairs(_grouped(spark, d) if grouped is None else grouped, "key", "n_chars")
     return met.select("group_id", F.format_string("%09d", "a").alias("a"), F.format_string("%09d", "b").alias("b"), (F.abs(F.col("size_a") - F.col("size_b")) + lattice.OVERHEAD).alias("cost"))
 
 
@@ -308,10 +334,11 @@ def mst_edges(spark: SparkSession, d: str) -> DataFrame:
     return lattice.mst(_edges(spark, d))
 
 
-@_query(f"WITH {_EDGES} SELECT group_id::BIGINT AS group_id, a, b, cost, rk FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY cost, a, b)::INT rk FROM e) WHERE rk <= 14")
+@_query(f"WITH RECURSIVE {_MST}, f AS (SELECT e.*, row_number() OVER (PARTITION BY e.group_id ORDER BY t.cost IS NULL, e.cost, e.a, e.b)::INT rk FROM e LEFT JOIN t ON e.group_id = t.group_id AND e.a = t.a AND e.b = t.b) SELECT group_id::BIGINT AS group_id, a, b, cost, rk FROM f WHERE rk <= 14")
 def frontier_edges(spark: SparkSession, d: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("group_id").orderBy("cost", "a", "b"))
-    return _edges(spark, d).withColumn("rk", rank).filter(F.col("rk") <= lattice.FRONTIER)
+    """Edges that are searched: the spanning tree first, then the cheapest others."""
+    edges = _edges(spark, d)
+    return lattice.frontier_edges(edges, lattice.mst(edges))
 
 
 @_query(
@@ -320,8 +347,9 @@ def frontier_edges(spark: SparkSession, d: str) -> DataFrame:
     "l AS (SELECT group_id, floor(sum(n_chars)*25.0/100)::BIGINT lim FROM g GROUP BY 1) SELECT group_id::BIGINT AS group_id, least(wanted, lim)::BIGINT AS budget FROM w JOIN l USING (group_id)"
 )
 def group_budget(spark: SparkSession, d: str) -> DataFrame:
-    edges = _edges(spark, d)
-    stored = _grouped(spark, d).select("group_id", F.col("n_chars").alias("stored"))
+    grouped = _grouped(spark, d)
+    edges = _edges(spark, d, grouped)
+    stored = grouped.select("group_id", F.col("n_chars").alias("stored"))
     return lattice.group_budget(edges, stored, lattice.mst(edges), 25.0)
 
 
@@ -337,33 +365,62 @@ def lattice_report(spark: SparkSession, d: str) -> DataFrame:
     return ends.groupBy("group_id").agg((F.count("*") / 2).cast("long").alias("n_edges"), (F.sum("cost") / 2).cast("long").alias("bytes"), F.countDistinct("v").alias("protected"))
 
 
-@_query()
-def xor_delta(spark: SparkSession, d: str) -> DataFrame:
-    met = lattice.pairs(_grouped(spark, d), "key", "n_chars")
-    docs = _docs(spark, d)
+_BLOCKS = "b AS (SELECT sha256(text) AS key, any_value(encode(text)) raw, any_value(octet_length(encode(text))) n FROM documents WHERE text <> '' GROUP BY 1)"
+_BLOCK_MST = _MST.replace(_GROUPED, _BLOCKS + ", g AS (SELECT key, n AS n_chars, (row_number() OVER (ORDER BY n, key)-1)//7 AS group_id, ((row_number() OVER (ORDER BY n, key)-1)%7) AS pos FROM b)").replace("printf('%09d', x.key)", "x.key").replace("printf('%09d', y.key)", "y.key")
+_HIT = "substr(key, 1, 1) < '4'"
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct texts as blocks (block_hash, raw, n)."""
+    raw = _docs(spark, d).filter(F.length("content") > 0).select(F.sha2("content", 256).alias("block_hash"), F.col("content").alias("raw"))
+    return raw.groupBy("block_hash").agg(F.any_value("raw").alias("raw")).withColumn("n", F.length("raw"))
+
+
+def _deltas(blocks: DataFrame, *, tree: bool) -> DataFrame:
+    """Pair deltas of the blocks' size groups, of all pairs or of each group's spanning tree by size differences."""
+    met = lattice.pairs(lattice.size_groups(blocks.select("block_hash", "n"), "n", "block_hash"), "block_hash", "n")
+    if tree:
+        met = lattice.mst(met.select("group_id", "a", "b", (F.abs(F.col("size_a") - F.col("size_b")) + lattice.OVERHEAD).alias("cost")))
     for side in "ab":
-        met = met.join(docs.select(F.col("doc_id").alias(side), F.col("content").alias(f"raw_{side}")), side)
-    return lattice.deltas(met).select("group_id", "a", "b", "repair_hash", F.length("delta").alias("delta_size"), "cost")
+        met = met.join(blocks.select(F.col("block_hash").alias(side), F.col("raw").alias(f"raw_{side}")), side)
+    return lattice.deltas(met.select("group_id", "a", "b", "raw_a", "raw_b"))
+
+
+_PADDED = "{x}.raw || repeat('\\x00'::BLOB, greatest({x}.n, {y}.n) - {x}.n)"
 
 
 @_query(
-    f"WITH RECURSIVE {_MST}, b2 AS (SELECT a x, b y FROM t UNION ALL SELECT b, a FROM t), v AS (SELECT printf('%09d', key) v, key FROM g), "
-    "s(v, lvl) AS (SELECT v, 0 FROM v WHERE key % 5 <> 0 UNION SELECT y, lvl+1 FROM s JOIN b2 ON x = s.v WHERE lvl < 6) SELECT v, min(lvl)::INT AS round FROM s GROUP BY 1"
+    f"WITH {_BLOCKS}, g AS (SELECT key, raw, n, (row_number() OVER (ORDER BY n, key)-1)//7 AS group_id, ((row_number() OVER (ORDER BY n, key)-1)%7) AS pos FROM b) "
+    f"SELECT x.group_id::BIGINT AS group_id, x.key AS a, y.key AS b, sha256(xor(({_PADDED.format(x='x', y='y')})::BIT, ({_PADDED.format(x='y', y='x')})::BIT)::BLOB) AS repair_hash, greatest(x.n, y.n)::INT AS delta_size "
+    "FROM g x JOIN g y ON x.group_id = y.group_id AND x.pos < y.pos"
 )
+def xor_delta(spark: SparkSession, d: str) -> DataFrame:
+    return _deltas(_blocks(spark, d), tree=False).select("group_id", "a", "b", "repair_hash", F.length("delta").alias("delta_size"))
+
+
+_LEVELS = f"b2 AS (SELECT a x, b y FROM t UNION ALL SELECT b, a FROM t), s(v, lvl) AS (SELECT key, 0 FROM g WHERE NOT ({_HIT}) UNION SELECT y, lvl+1 FROM s JOIN b2 ON x = s.v WHERE lvl < 6)"
+
+
+@_query(f"WITH RECURSIVE {_BLOCK_MST}, {_LEVELS} SELECT v AS block_hash, min(lvl)::INT AS round FROM s GROUP BY 1")
 def recovered_blocks(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _grouped(spark, d).select("group_id", F.format_string("%09d", "key").alias("v"), (F.col("key") % 5 != 0).alias("ok"))
-    return lattice.recover(nodes, lattice.mst(_edges(spark, d)))
+    """Blocks that are intact, or rebuilt from a delta and a neighbour and then checked by their hash; those with a low hash are damaged."""
+    blocks = _blocks(spark, d)
+    kept = _deltas(blocks, tree=True)
+    now = F.when(F.expr(_HIT.replace("key", "block_hash")), F.concat("raw", F.lit(b"!"))).otherwise(F.col("raw"))
+    primary = blocks.select(F.col("block_hash").alias("record_hash"), now.alias("raw"))
+    records = primary.unionByName(kept.select(F.col("repair_hash").alias("record_hash"), F.col("delta").alias("raw")).dropDuplicates(["record_hash"]))
+    records = records.withColumn("status", archive.status(F.col("raw"), F.col("record_hash")))
+    edges = kept.select(F.col("group_id").cast("string").alias("grp"), "a", "b", F.col("repair_hash").alias("repair"))
+    return archive.recovered_blocks(records, edges, blocks.select("block_hash", F.col("n").alias("size"))).select("block_hash", "round")
 
 
 @_query(
-    f"WITH RECURSIVE {_MST}, b2 AS (SELECT a x, b y FROM t UNION ALL SELECT b, a FROM t), v AS (SELECT printf('%09d', key) v, key FROM g), "
-    "s(v, lvl) AS (SELECT v, 0 FROM v WHERE key % 5 <> 0 UNION SELECT y, lvl+1 FROM s JOIN b2 ON x = s.v WHERE lvl < 6), m AS (SELECT v, min(lvl) l FROM s GROUP BY 1) "
-    "SELECT (SELECT count(*) FROM v)::BIGINT AS blocks, count_if(l = 0)::BIGINT AS intact, count_if(l > 0)::BIGINT AS recovered, ((SELECT count(*) FROM v) - count(*))::BIGINT AS lost FROM m"
+    f"WITH RECURSIVE {_BLOCK_MST}, {_LEVELS}, m AS (SELECT v, min(lvl) l FROM s GROUP BY 1) "
+    "SELECT (SELECT count(*) FROM g)::BIGINT AS blocks, count_if(l = 0)::BIGINT AS intact, count_if(l > 0)::BIGINT AS recovered, ((SELECT count(*) FROM g) - count(*))::BIGINT AS lost FROM m"
 )
 def archive_health(spark: SparkSession, d: str) -> DataFrame:
-    rows = recovered_blocks(spark, d)
-    total = _read(spark, d, "documents").agg(F.count("*").alias("blocks"))
-    found = rows.agg(F.count_if(F.col("round") == 0).alias("intact"), F.count_if(F.col("round") > 0).alias("recovered"))
+    total = _blocks(spark, d).agg(F.count("*").alias("blocks"))
+    found = recovered_blocks(spark, d).agg(F.count_if(F.col("round") == 0).alias("intact"), F.count_if(F.col("round") > 0).alias("recovered"))
     return total.crossJoin(found).withColumn("lost", F.col("blocks") - F.col("intact") - F.col("recovered"))
 
 
@@ -375,11 +432,11 @@ def list_archive(spark: SparkSession, d: str) -> DataFrame:
     return entry_manifest(spark, d).select("path", "size", F.upper(F.left("sha256", F.lit(16))).alias("hash16"))
 
 
-@_query("SELECT DISTINCT lang AS name, true AS is_dir FROM documents WHERE lang IS NOT NULL")
+@_query("SELECT DISTINCT coalesce(lang, doc_id || '.txt') AS name, lang IS NOT NULL AS is_dir FROM documents")
 def list_directory(spark: SparkSession, d: str) -> DataFrame:
-    rest = F.split_part(F.expr("substring(path, 11)"), F.lit("/"), F.lit(1))
-    inside = _docs(spark, d).filter(F.col("lang").isNotNull() & F.startswith("path", F.lit("documents/")))
-    return inside.select(rest.alias("name"), F.lit(True).alias("is_dir")).distinct()
+    rest = F.expr("substring(path, 11)")
+    inside = _docs(spark, d).filter(F.startswith("path", F.lit("documents/")))
+    return inside.select(F.split_part(rest, F.lit("/"), F.lit(1)).alias("name"), F.contains(rest, F.lit("/")).alias("is_dir")).distinct()
 
 
 @_query("SELECT page_id, url FROM pages WHERE contains(lower(url), 'example.org')")
@@ -402,11 +459,10 @@ def delete_entries(spark: SparkSession, d: str) -> DataFrame:
     return dedup.delete(_docs(spark, d).select("path"), targets)
 
 
-@_query("SELECT p AS path, arg_max(src, o) AS source FROM (SELECT text AS p, 0 o, 'documents' src FROM documents UNION ALL SELECT text, 1, 'benchmark' FROM benchmark) WHERE p IS NOT NULL GROUP BY 1")
+@_query("SELECT p AS path, arg_max(src, o) AS source FROM (SELECT coalesce(text,'') AS p, 0 o, 'documents' src FROM documents UNION ALL SELECT coalesce(text,''), 1, 'benchmark' FROM benchmark) GROUP BY 1")
 def merge_sources(spark: SparkSession, d: str) -> DataFrame:
-    a = _read(spark, d, "documents").select(F.col("text").alias("path"), F.lit(0).alias("o"), F.lit("documents").alias("source"))
-    b = _read(spark, d, "benchmark").select(F.col("text").alias("path"), F.lit(1).alias("o"), F.lit("benchmark").alias("source"))
-    return a.unionByName(b).filter("path is not null").groupBy("path").agg(F.max_by("source", "o").alias("source"))
+    names = ("documents", "benchmark")
+    return store.merged([_read(spark, d, t).select(F.coalesce("text", F.lit("")).alias("path"), F.lit(t).alias("source")).distinct() for t in names])
 
 
 @_query("WITH a AS (SELECT DISTINCT sha256(coalesce(text,'')) h FROM documents), b AS (SELECT DISTINCT sha256(coalesce(text,'')) h FROM benchmark) SELECT h AS record_hash, 'primary' AS kind FROM a UNION ALL SELECT h, 'repair' FROM b WHERE h NOT IN (SELECT h FROM a)")
@@ -426,33 +482,28 @@ def safe_paths(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "pages").select("page_id", scalars.is_safe_path(F.regexp_replace("url", "^https?:/", "")).alias("safe"))
 
 
-@_query("SELECT doc_id, CASE WHEN n >= 1048576 THEN printf('%.2f MB', n/1048576.0) WHEN n >= 1024 THEN printf('%.2f KB', n/1024.0) ELSE n || ' B' END AS size FROM (SELECT doc_id, octet_length(encode(coalesce(text,''))) n FROM documents)")
+@_query("SELECT doc_id, CASE WHEN n >= 1048576 THEN printf('%.2f MB', n/1048576.0) WHEN n >= 1024 THEN printf('%.2f KB', n/1024.0) ELSE replace(format('{:,}', n), ',', '.') || ' B' END AS size FROM (SELECT doc_id, octet_length(encode(coalesce(text,''))) n FROM documents)")
 def human_sizes(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", scalars.human_bytes(F.length("content")).alias("size"))
 
 
-@_query(f"SELECT {_P} AS path, 'checked' AS comment FROM documents")
-def set_comment(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("path", F.lit("checked").alias("comment"))
-
-
 @_query("SELECT * FROM (VALUES ('qbx', true), ('zip', true), ('7z', false), ('rar', false)) t(format, available)")
 def format_capabilities(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([("qbx", True), ("zip", True), ("7z", False), ("rar", False)], "format string, available boolean")
+    return bridge.capabilities(spark)
 
 
-@_query("WITH s AS (SELECT lang, sum(octet_length(encode(text)))::BIGINT AS base, sum(DISTINCT n_chars)::BIGINT AS now FROM documents WHERE lang IS NOT NULL GROUP BY 1) SELECT max(base-now) AS best, bool_and(now <= base) AND max(base-now) >= 32 AS passed FROM s")
+@_query("WITH base AS (SELECT lang AS name, sum(octet_length(encode(coalesce(text,''))))::BIGINT AS size FROM documents GROUP BY 1), cand AS (SELECT lang AS name, sum(n)::BIGINT AS size FROM (SELECT DISTINCT lang, text, octet_length(encode(coalesce(text,''))) n FROM documents) GROUP BY 1) SELECT max(b.size - c.size)::BIGINT AS best, bool_and(c.size <= b.size) AND max(b.size - c.size) >= 32 AS passed FROM base b JOIN cand c ON b.name IS NOT DISTINCT FROM c.name")
 def release_gate(spark: SparkSession, d: str) -> DataFrame:
-    """No benchmark grows, and the best saves at least 32 bytes."""
-    rows = _read(spark, d, "documents").filter("lang is not null").groupBy("lang")
-    sizes = rows.agg(F.sum(F.octet_length("text")).alias("base"), F.sum_distinct("n_chars").alias("now"))
-    return sizes.agg(F.max(F.col("base") - F.col("now")).alias("best"), (F.every(F.col("now") <= F.col("base")) & (F.max(F.col("base") - F.col("now")) >= 32)).alias("passed"))
+    """Reports of two forms, all bytes by language and those of distinct texts: none grows, and the best saves at least 32 bytes."""
+    rows = _docs(spark, d).select(F.col("lang").alias("name"), "content", F.length("content").cast("long").alias("n"))
+    base = rows.groupBy("name").agg(F.sum("n").alias("size"))
+    return frontier.release_gate(base, rows.groupBy("name", F.sha2("content", 256)).agg(F.max("n").alias("n")).groupBy("name").agg(F.sum("n").alias("size")))
 
 
 @_query("SELECT event_type, user_id, min(ts) AS first_ts FROM events GROUP BY 1, 2")
 def incremental_first_seen(spark: SparkSession, d: str) -> DataFrame:
     """Extension: deduplication over the event table, batch side."""
-    return _read(spark, d, "events").groupBy("event_type", "user_id").agg(F.min("ts").alias("first_ts"))
+    return incremental.first_seen(_read(spark, d, "events"), ["event_type", "user_id"]).select("event_type", "user_id", F.col("ts").alias("first_ts"))
 
 
 @_query("SELECT event_type, time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '1970-01-01') AS start, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import codecs
@@ -207,8 +207,12 @@ def read_records(spark: SparkSession, archive: str) -> DataFrame:
 
     rows = read_index(spark, archive).mapInPandas(read, INDEX + ", payload binary")
     rows = rows.withColumn("d", codecs.decoded("codec", "payload", "raw_size")).withColumn("raw", F.col("d.raw"))
-    status = F.when(F.col("raw").isNull(), "decode_error").when(F.sha2("raw", 256) != F.col("record_hash"), "hash_mismatch").otherwise("ok")
-    return rows.withColumn("status", status).drop("d", "payload")
+    return rows.withColumn("status", status(F.col("raw"), F.col("record_hash"))).drop("d", "payload")
+
+
+def status(raw: Column, key: Column) -> Column:
+    """State of a record by its decoded bytes: ok, decode_error or hash_mismatch."""
+    return F.when(raw.isNull(), "decode_error").when(F.sha2(raw, 256) != key, "hash_mismatch").otherwise("ok")
 
 
 def edges_of(spark: SparkSession, manifest: dict) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def first_seen(events: DataFrame, keys: list[str], ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
-    """The first row of each key within the watermark; works on streams and on tables."""
-    marked = events.withWatermark(ts, delay) if events.isStreaming else events
-    return marked.dropDuplicatesWithinWatermark(keys) if events.isStreaming else marked.dropDuplicates(keys)
+    """Keys with the time of their first row: within the watermark on a stream, over all rows on a table."""
+    if events.isStreaming:
+        return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys).select(*keys, ts)
+    return events.groupBy(*keys).agg(F.min(ts).alias(ts))
 
 
 def windowed_counts(events: DataFrame, ts: str = "ts", width: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
