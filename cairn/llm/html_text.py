@@ -4,13 +4,12 @@ The parser cuts a page into blocks and gives each a zone: ``chrome`` (menus, hea
 forms, comments), ``body`` (inside an article or main element) or ``open`` (neither). The token streams of a host's blocks outside
 articles are concatenated in shards and sorted as suffixes; neighbours of the suffix array that share ``RUN`` tokens (or a whole
 shorter block) and come from distinct pages are repeats, which are gathered across shards by their first tokens. (Every longer
-repeat is covered by such runs, and every position of it starts or lies in one.) Text that runs cover is boilerplate and
-goes; unique runs stay, unless markup calls them chrome. Body blocks are kept whole, since articles may quote or copy each other.
+repeat is covered by such runs, and every position of it starts or lies in one.) On pages with open text, whether they have an
+article or not, open text that runs cover is boilerplate and goes; unique runs stay. Chrome goes by its markup, and body blocks
+are kept whole, since articles may quote or copy each other.
 
 Where a page has no article and repeats cover all of its open text, the page is a copy of another one as a whole, and its open text is kept.
 
-``n_repeated`` counts a page's tokens outside articles that runs cover, ``n_chrome`` those that markup alone removes.
-
 Defined results: null html is an empty page; a page without text gives an empty string; repeated rows are a page each but
 count as one page when runs are counted (same page_id); a null page_id gets a row like any other, a null url is a host of its own; pages
 of any length are read whole; extra columns, whatever their names, are ignored; empty tables give no row.
@@ -233,36 +232,35 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, schema)
 
 
-def _joined(kept: list[str], zones: str, outside: list[str], hits: set[int], run: int) -> tuple[str, int, int]:
-    """Main text, tokens outside articles that runs cover, and others that markup calls chrome; hits: the positions where runs start."""
-    body, out, spare, n_repeated, n_chrome, at = iter(kept), [], [], 0, 0, 0
-    others = iter(outside)
+def _joined(kept: list[str], zones: str, outside: list[str], hits: set[int], run: int) -> str:
+    """Main text of a page with open blocks; hits: the tokens outside articles, by number, at which repeats start."""
+    body, others, out, spare, at = iter(kept), iter(outside), [], [], 0
     for zone in zones:
+        text = next(body if zone == "b" else others)
         if zone == "b":
-            out.append(next(body))
+            out.append(text)
             continue
-        text = next(others)
         words = text.split()
-        covered = np.zeros(len(words), bool)
-        for a in range(len(words)) if hits else ():
-            if at + a in hits:
-                covered[a : a + run] = True
+        if zone == "o":
+            covered = np.zeros(len(words), bool)
+            for a in range(len(words)):
+                if at + a in hits:
+                    covered[a : a + run] = True
+            spare.append(text)
+            if not covered.all():
+                out.append(" ".join(w for w, c in zip(words, covered.tolist(), strict=True) if not c))
         at += len(words)
-        n_repeated += int(covered.sum())
-        if zone == "c":
-            n_chrome += int((~covered).sum())
-            continue
-        spare.append(text)
-        text = " ".join(w for w, c in zip(words, covered.tolist(), strict=True) if not c)
-        if text:
-            out.append(text)
-    return "\n".join(out or spare), n_repeated, n_chrome
+    return "\n".join(out or spare)
 
 
 def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
-    """Rows (page_id, url, text, n_chars, n_repeated, n_chrome)."""
-    parsed = staged(parse_pages(pages), "parsed")
-    runs = staged(repeated_runs(parsed, run), "runs")  # so that the join below can split a hot host's runs
+    """Rows (page_id, url, text, n_chars)."""
+    parsed = staged(parse_pages(pages), "parsed").withColumn("key", F.xxhash64("host", "page_key", "zones", "outside"))
+    is_open = F.contains("zones", F.lit("o"))
+    opened = parsed.filter(is_open)
+    # Repeats are asked for where markup leaves text undecided: on hosts of such pages, over all text outside articles there.
+    hosts = opened.select("host").distinct()
+    runs = staged(repeated_runs(parsed.join(hosts.hint("merge"), "host", "left_semi"), run), "runs")  # so that the join below can split a hot host's runs
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Runs of each page outside articles, by the number of their first token."""
@@ -276,19 +274,16 @@ def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [
-                _joined(list(kept), zones, list(outside), set() if hits is None else set(hits), run)
-                for kept, zones, outside, hits in zip(pdf["kept"], pdf["zones"], pdf["outside"], pdf["hits"], strict=True)
-            ]
-            out = pd.DataFrame(found, columns=["text", "n_repeated", "n_chrome"])
-            yield pd.concat([pdf[["row", "no_id", "url"]].reset_index(drop=True), out], axis=1)
-
-    whole = parsed.withColumn("key", F.xxhash64("host", "page_key", "zones", "outside"))
-    with_text = whole.filter(F.size("outside") > 0)
-    asked = with_text.select("key", "host", "outside").mapInPandas(ask, "key long, host string, at int, prefix long").distinct()
+            rows = zip(pdf["kept"], pdf["zones"], pdf["outside"], pdf["hits"], strict=True)
+            texts = [_joined(list(kept), zones, list(outside), set() if hits is None else set(hits), run) for kept, zones, outside, hits in rows]
+            yield pdf[["row", "no_id", "url"]].assign(text=texts)
+
+    asked = opened.select("key", "host", "outside").mapInPandas(ask, "key long, host string, at int, prefix long").distinct()
     hit = asked.join(runs.hint("merge"), ["host", "prefix"]).groupBy("key").agg(F.collect_set("at").alias("hits"))
-    out = whole.join(hit.hint("merge"), "key", "left").mapInPandas(join, "row long, no_id boolean, url string, text string, n_repeated long, n_chrome long")
-    return out.select(F.when(~F.col("no_id"), F.col("row")).alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_repeated", "n_chrome")
+    settled = parsed.filter(~is_open).select("row", "no_id", "url", F.array_join("kept", "\n").alias("text"))
+    mixed = opened.join(hit.hint("merge"), "key", "left").mapInPandas(join, "row long, no_id boolean, url string, text string")
+    both = settled.unionByName(mixed)
+    return both.select(F.when(~F.col("no_id"), F.col("row")).alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
