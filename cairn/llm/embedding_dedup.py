@@ -4,7 +4,7 @@ Rotations that balance binary codes are learned on a bounded sample (about ``SAM
 the code bits are cut into substrings, one hash table each, and vectors that share a substring and lie within a Hamming bound
 are compared by cosine of the original vectors. The number of tables is chosen so that pairs exactly at the
 threshold are missed at most ``MISS`` of the time, as measured with the learned rotations on vectors that they weren't learned
-from; tables are added, and in the end keys shortened, until that holds.
+from; tables are added, and in the end keys shortened, until that holds (down to one bucket, which compares all).
 
 Dense groups cost no pairs: a vector within half the threshold angle of its table leader joins the leader's ball, and any two members
 of a ball are links by the triangle inequality. Only pairs of different balls are compared; in a hot bucket the rows
@@ -91,7 +91,10 @@ class Quantiser:
                 self.tables = [np.arange(k * self.width, (k + 1) * self.width) for k in range(n_tables)]
                 break
             if len(self.rotations) % self.PATIENCE == 0:
-                self.width = max(1, self.width - 1)
+                self.width -= 1
+                if not self.width:  # no code tells these vectors apart reliably: one bucket, compared whole in blocks
+                    self.tables, same = [np.arange(0)], np.zeros_like(same)
+                    break
         apart = (~same).sum(axis=1)
         #: Hamming bound that pairs at the threshold keep, with room beyond the sample.
         self.most = int(np.ceil(apart.mean() + 5 * apart.std() + 1))
