@@ -15,6 +15,7 @@ from cairn.functions import chunking, codecs, scalars
 from cairn.operators import dedup, frontier, lattice
 from cairn.plans import bridge, store
 from cairn.sources import archive
+from cairn.staging import staged
 from cairn.streaming import incremental
 
 SIZES = {"least": 64, "target": 256, "most": 1024}
@@ -404,8 +405,8 @@ _LEVELS = f"b2 AS (SELECT a x, b y FROM t UNION ALL SELECT b, a FROM t), s(v, lv
 @_query(f"WITH RECURSIVE {_BLOCK_MST}, {_LEVELS} SELECT v AS block_hash, min(lvl)::INT AS round FROM s GROUP BY 1")
 def recovered_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Blocks that are intact, or rebuilt from a delta and a neighbour and then checked by their hash; those with a low hash are damaged."""
-    blocks = _blocks(spark, d)
-    kept = _deltas(blocks, tree=True)
+    blocks = staged(_blocks(spark, d), "blocks")
+    kept = staged(_deltas(blocks, tree=True).select("group_id", "a", "b", "repair_hash", "delta"), "deltas")
     now = F.when(F.expr(_HIT.replace("key", "block_hash")), F.concat("raw", F.lit(b"!"))).otherwise(F.col("raw"))
     primary = blocks.select(F.col("block_hash").alias("record_hash"), now.alias("raw"))
     records = primary.unionByName(kept.select(F.col("repair_hash").alias("record_hash"), F.col("delta").alias("raw")).dropDuplicates(["record_hash"]))
