@@ -6,8 +6,8 @@ the offset and the length) and a directory of shards. A lookup hashes the key, p
 set, and reads one slot: constant time. The stored fingerprint tells foreign keys.
 
 Defined results: null text is an empty document (its end id only); a null key is a key like any other, ordered first;
-rows with equal keys are all stored, told apart by their occurrence; empty tables give no shard; other columns are
-not carried.
+rows with equal keys are all stored, ordered by a hash of their text and told apart by their occurrence, and may fill many shards;
+texts of any length are encoded whole; empty tables give no shard; other columns, whatever their names, are not carried.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.llm.common import AtomicFile, mix64, new_folder, read_file, staged
 from cairn.llm.tokens import encoder
@@ -49,14 +51,29 @@ def key_hash(keys: np.ndarray, missing: np.ndarray, occurrence: np.ndarray) -> n
     """64 bits of a key and its occurrence; distinct ids at their first occurrence never share them."""
     h = mix64(keys.astype(np.int64).view(np.uint64))
     more = (occurrence > 0) | missing
-    h[more] = mix64(h[more] ^ mix64(occurrence[more].astype(np.uint64) * np.uint64(2) + missing[more]))
+    # Mixed twice: with one round a key would cancel an occurrence of equal value.
+    h[more] = mix64(h[more] ^ mix64(mix64(occurrence[more].astype(np.uint64) * np.uint64(2) + missing[more])))
     return h
 
 
+def _whole_key(key: F.Column) -> tuple[F.Column, F.Column]:
+    """A key without nulls and whether it was null: pandas would make a column of keys and nulls floats, which lose large keys."""
+    return F.coalesce(key, F.lit(0)).alias("key"), key.isNull().alias("no_key")
+
+
+@F.pandas_udf(T.LongType())
+def _hashes(key: pd.Series, missing: pd.Series, occurrence: pd.Series) -> pd.Series:
+    return pd.Series(key_hash(key.to_numpy(), missing.to_numpy(), occurrence.to_numpy()).view(np.int64))
+
+
 def write_store(
     docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str = "text", end_id: int = 1, root: str | None = None
 ) -> TokenStore:
-    """Encode whole texts and write the ids in ascending key order; one task writes one shard."""
+    """Encode whole texts and write the ids in ascending key order; one task writes one shard.
+
+    Rows are dealt by key, hash of the text and row, so rows of one key spread over tasks. A task counts the occurrences of
+    its own rows; those of its first key in earlier shards are added afterwards, from the directory.
+    """
     spark = docs.sparkSession
     root = root or new_folder(spark, "tokens")
     folder = f"{root}/shards"
@@ -65,6 +82,7 @@ def write_store(
         enc = encoder(tokenizer_path)
         width = 2 if max(enc.vocab_size, end_id + 1) <= 1 << 16 else 4
         out, crc, at, n_docs, last, seen = None, 0, 0, 0, object(), 0
+        part = TaskContext.get().partitionId()
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -86,7 +104,7 @@ def write_store(
                 {
                     "key": pd.Series(keys).astype("Int64").where(~missing),
                     "occurrence": occurrence,
-                    "hash": key_hash(keys, missing, occurrence).view(np.int64),
+                    "part": part,
                     "shard": out.uri,
                     "start": start,
                     "n": n,
@@ -96,32 +114,42 @@ def write_store(
             out.write(struct.pack(TRAILER, n_docs, at, crc))
             out.commit()
 
-    entries = staged(
+    order = [F.col("key").asc_nulls_first(), "salt", "row"]
+    written = staged(
         docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-        .repartitionByRange(F.col("key").asc_nulls_first())
-        .sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
-        .select(F.coalesce("key", F.lit(0)).alias("key"), F.col("key").isNull().alias("no_key"), "text")
-        .mapInPandas(write, "key long, occurrence long, hash long, shard string, start long, n long"),
+        .select("key", "text", F.xxhash64("text").alias("salt"), F.monotonically_increasing_id().alias("row"))
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select(*_whole_key(F.col("key")), "text")
+        .mapInPandas(write, "key long, occurrence long, part int, shard string, start long, n long"),
         "entries",
     )
     # The directory has a row per shard, that is per task; it is small whatever the number of documents.
     found = (
-        entries.groupBy("shard")
-        .agg(F.min("key").alias("low"), F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.count("key").alias("n_keys"))
+        written.groupBy("shard", "part")
+        .agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), *(f(F.struct("key", "occurrence"), "start").alias(a) for f, a in ((F.min_by, "low"), (F.max_by, "high"))))
         .collect()
     )
-    found.sort(key=lambda r: (r.n_keys == r.n_docs, r.low if r.low is not None else -(1 << 63)))
-    shards, base = [], 0
-    for i, r in enumerate(found):
-        shards.append({"no": i, "path": r.shard, "base": base, "n_docs": r.n_docs, "n_tokens": r.n_tokens})
+    shards, base, before = [], 0, 0
+    for i, r in enumerate(sorted(found, key=lambda r: r.part)):
+        before = before if shards and shards[-1]["high"] == r.low.key else 0
+        shards.append({"no": i, "path": r.shard, "base": base, "n_docs": r.n_docs, "n_tokens": r.n_tokens, "low": r.low.key, "high": r.high.key, "before": before})
         base += r.n_tokens
+        before = r.high.occurrence + 1 + (before if r.low.key == r.high.key else 0)
+    firsts = _shard_rows(spark, shards, "shard string, low long, before long", "path", "low", "before")
+    occurrence = F.col("occurrence") + F.when(F.col("key").eqNullSafe(F.col("low")), F.col("before")).otherwise(0)
+    entries = written.join(F.broadcast(firsts), "shard").select("key", occurrence.alias("occurrence"), "shard", "start", "n")
+    entries = entries.withColumn("hash", _hashes(*_whole_key(F.col("key")), "occurrence"))
     n_files = max(LEAST_FILES, -(-sum(s["n_docs"] for s in shards) // KEYS_PER_FILE))
     return TokenStore(root, entries, shards, n_files)
 
 
+def _shard_rows(spark: SparkSession, shards: list[dict], schema: str, *fields: str) -> DataFrame:
+    return spark.createDataFrame([tuple(s[f] for f in fields) for s in shards], schema)
+
+
 def _directory(spark: SparkSession, store: TokenStore) -> DataFrame:
-    rows = [(s["path"], s["no"], s["base"]) for s in store.shards]
-    return spark.createDataFrame(rows, "shard string, shard_no int, base long")
+    return _shard_rows(spark, store.shards, "shard string, shard_no int, base long", "path", "no", "base")
 
 
 def _file_of(store: TokenStore) -> F.Column:
@@ -232,12 +260,14 @@ def lookup(store: TokenStore, keys: DataFrame) -> DataFrame:
 
     def find(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if group[0] not in files:
-            return pdf.assign(shard_no=0, start=0, n=0)[["key", "occurrence", "shard_no", "start", "n"]].iloc[:0]
+            return pdf.assign(shard_no=0, start=0, n=0)[["key", "no_key", "occurrence", "shard_no", "start", "n"]].iloc[:0]
         slots = IndexFile(read_file(files[group[0]])).find(pdf["hash"].to_numpy().view(np.uint64))
-        out = pdf[["key", "occurrence"]].assign(**{"shard_no": slots["shard"].astype(np.int32), "start": slots["start"].astype(np.int64), "n": slots["n"].astype(np.int64)})
+        out = pdf[["key", "no_key", "occurrence"]].assign(**{"shard_no": slots["shard"].astype(np.int32), "start": slots["start"].astype(np.int64), "n": slots["n"].astype(np.int64)})
         return out[out["n"] > 0]
 
-    out = keys.withColumn("file", _file_of(store)).groupBy("file").applyInPandas(find, "key long, occurrence long, shard_no int, start long, n long")
+    rows = keys.select(*_whole_key(F.col("key")), "occurrence", "hash", _file_of(store).alias("file"))
+    out = rows.groupBy("file").applyInPandas(find, "key long, no_key boolean, occurrence long, shard_no int, start long, n long")
+    out = out.withColumn("key", F.when(~F.col("no_key"), F.col("key"))).drop("no_key")
     bases = _directory(spark, store).select("shard_no", "shard", "base")
     return out.join(F.broadcast(bases), "shard_no")
 
@@ -248,9 +278,11 @@ def read_digests(found: DataFrame) -> DataFrame:
     def read(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         data = read_file(group[0])
         crc = [zlib.crc32(read_ids(data, s, n).astype("<u4").tobytes()) for s, n in zip(pdf["start"].tolist(), pdf["n"].tolist(), strict=True)]
-        return pd.DataFrame({"doc_id": pdf["key"], "start": pdf["base"] + pdf["start"], "n_tokens": pdf["n"], "ids_crc32": np.array(crc, np.int64)})
+        return pd.DataFrame({"doc_id": pdf["key"], "no_key": pdf["no_key"], "start": pdf["base"] + pdf["start"], "n_tokens": pdf["n"], "ids_crc32": np.array(crc, np.int64)})
 
-    return found.groupBy("shard").applyInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = found.select(*_whole_key(F.col("key")), "shard", "base", "start", "n")
+    out = rows.groupBy("shard").applyInPandas(read, "doc_id long, no_key boolean, start long, n_tokens long, ids_crc32 long")
+    return out.withColumn("doc_id", F.when(~F.col("no_key"), F.col("doc_id"))).drop("no_key")
 
 
 def token_store_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,25 @@ def test_tokens_equal_the_library_and_lookup_finds_all(spark):
     assert ts.lookup(store, foreign.withColumn("occurrence", F.col("occurrence").cast("long"))).count() == 0
 
 
+def test_rows_of_one_key_fill_many_shards(spark):
+    rows = [(k, f"text {k} {j}") for k in range(5) for j in range(3)] + [(9, f"hot {j % 200}") for j in range(3000)] + [(None, "void")] * 1500 + [(2**60 + 1, "end")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store = ts.build_index(ts.write_store(frame(spark, rows), VOCAB))
+        entries = store.entries.withColumn("key", F.coalesce(F.col("key").cast("string"), F.lit("none"))).toPandas()
+        digests = ts.read_digests(ts.lookup(store, store.entries)).withColumn("doc_id", F.col("doc_id").cast("string")).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert entries[entries["key"] == "9"]["shard"].nunique() > 1 and entries[entries["key"] == "none"]["shard"].nunique() > 1
+    for _, group in entries.groupby("key"):
+        assert sorted(group["occurrence"]) == list(range(len(group)))
+    assert len(digests) == len(rows)
+    digests = digests.sort_values("start")
+    assert (digests["start"].to_numpy() == np.cumsum(digests["n_tokens"].to_numpy()) - digests["n_tokens"].to_numpy()).all()
+    assert digests["doc_id"].isna().to_numpy()[:1500].all()
+    assert [int(i) for i in digests["doc_id"][digests["doc_id"].notna()]] == sorted(i for i, _ in rows if i is not None)
+
+
 def test_perfect_hash_is_minimal():
     keys = ts.mix64(np.arange(5000, dtype=np.uint64))
     order, _ = ts.perfect_hash(keys)
