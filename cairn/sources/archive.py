@@ -11,7 +11,7 @@ import json
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -231,6 +231,26 @@ def edges_of(spark: SparkSession, manifest: dict) -> DataFrame:
     return spark.createDataFrame([(find(e["a"]), e["a"], e["b"], e["repair"]) for e in edges], "grp string, a string, b string, repair string")
 
 
+def closed_group(size: dict[str, int], raw: dict[str, bytes], links: Iterable[tuple[str, str, bytes]]) -> dict[str, int]:
+    """Round of each block of a group that is intact (0) or rebuilt; raw holds the intact ones and gets the rebuilt ones.
+
+    links: (a, b, delta) of intact deltas. A rebuilt block counts only if its hash is right.
+    """
+    rounds, queue = dict.fromkeys(raw, 0), list(raw)
+    near: dict[str, list] = {}
+    for a, b, delta in links:
+        near.setdefault(a, []).append((b, delta))
+        near.setdefault(b, []).append((a, delta))
+    for v in queue:
+        for w, delta in near.get(v, ()):
+            if w not in raw and len(raw[v]) <= len(delta):
+                found = codecs.recover_other(raw[v], delta, size[w])
+                if hashlib.sha256(found).hexdigest() == w:
+                    raw[w], rounds[w] = found, rounds[v] + 1
+                    queue.append(w)
+    return rounds
+
+
 def recovered_blocks(records: DataFrame, edges: DataFrame, sizes: DataFrame) -> DataFrame:
     """Rows (block_hash, raw, round) of primary blocks that are intact (round 0) or rebuilt from a delta and a neighbour.
 
@@ -245,19 +265,8 @@ def recovered_blocks(records: DataFrame, edges: DataFrame, sizes: DataFrame) ->
     def close(key: tuple, own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         size = dict(zip(own["block_hash"], own["size"].tolist(), strict=True))
         raw = {h: x for h, x in zip(own["block_hash"], own["raw"], strict=True) if x is not None}
-        rounds, queue = dict.fromkeys(raw, 0), list(raw)
-        near: dict[str, list] = {}
-        for a, b, delta in zip(links["a"], links["b"], links["delta"], strict=True):
-            near.setdefault(a, []).append((b, delta))
-            near.setdefault(b, []).append((a, delta))
-        for v in queue:
-            for w, delta in near.get(v, ()):
-                if w not in raw and len(raw[v]) <= len(delta):
-                    found = codecs.recover_other(raw[v], delta, size[w])
-                    if hashlib.sha256(found).hexdigest() == w:
-                        raw[w], rounds[w] = found, rounds[v] + 1
-                        queue.append(w)
-        return pd.DataFrame({"block_hash": list(raw), "raw": list(raw.values()), "round": [rounds[h] for h in raw]})
+        rounds = closed_group(size, raw, zip(links["a"], links["b"], links["delta"], strict=True))
+        return pd.DataFrame([(h, x, rounds[h]) for h, x in raw.items()], columns=["block_hash", "raw", "round"])  # of this form, no rows are no floats
 
     tied = state.filter("grp is not null").groupBy("grp").cogroup(ties.groupBy("tie_grp"))
     closed = tied.applyInPandas(close, "block_hash string, raw binary, round int")

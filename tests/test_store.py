@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import chunking, codecs
+from cairn.operators import lattice
 from cairn.plans import bridge, edits, store
 from cairn.sources import archive, files
 
@@ -236,3 +237,17 @@ def test_positions_are_gapless_with_a_used_column(spark, adaptive, partitions):
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+def test_groups_without_an_intact_block_recover_nothing(spark):
+    """The group of one text is healthy, that of the other is lost as a whole, which is a result and no error."""
+    raw = spark.createDataFrame([(k // 7, str(k).encode()) for k in range(14)], "group_id long, raw binary")
+    blocks = raw.withColumn("block_hash", F.sha2("raw", 256)).withColumn("n", F.length("raw"))
+    for now in (F.when(F.col("group_id") == 0, F.col("raw")).otherwise(F.concat("raw", F.lit(b"!"))), F.when(F.col("group_id") == 0, F.col("raw"))):
+        assert [r["round"] for r in lattice.recover_grouped(blocks, now).collect()] == [0] * 7
+    assert lattice.recover_grouped(blocks, F.lit(b"!")).count() == 0
+    records = blocks.select(F.col("block_hash").alias("record_hash"), F.lit(None).cast("binary").alias("raw"), F.lit("decode_error").alias("status"))
+    edges = blocks.groupBy(F.lit("g").alias("grp")).agg(F.min("block_hash").alias("a"), F.max("block_hash").alias("b")).withColumn("repair", F.lit("r"))
+    assert archive.recovered_blocks(records, edges, blocks.select("block_hash", F.col("n").alias("size"))).count() == 0
+    nodes = blocks.select("group_id", F.col("block_hash").alias("v"), F.lit(False).alias("ok"))
+    assert lattice.recover(nodes, edges.select(F.lit(0).cast("long").alias("group_id"), "a", "b")).count() == 0
