@@ -31,6 +31,8 @@ from cairn.llm.common import fold, mix64, staged
 from cairn.llm.near_dup import shingle_sets
 
 SAMPLE, THRESHOLD, LEAST_DOCS = 8000, 0.7, 3
+#: Power of two of the bits that tell labelled ids, at most.
+MOST_BITS = 27
 #: Characters of a stem, and the number of toxic words that must share it.
 STEM, LEAST_WORDS = (3, 6), 3
 #: Words that are added to a text's own where its matches are taken by the hundred words, so that one match in a few words is no density.
@@ -257,13 +259,38 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
     return w
 
 
+def among(ids: DataFrame) -> Callable[[F.Column], F.Column]:
+    """A test that each of the given ids (doc_id) passes and few others do; an exact join has to follow.
+
+    A Bloom filter of two bits an id, with 8 to 16 bits of room for each: about 2 to 5 % of other ids pass. It is sent whole and holds
+    ``MOST_BITS`` at most (16 MB); beyond 16 million ids others pass more often.
+    """
+    bits = 1 << min(MOST_BITS, max(15, (8 * ids.count()).bit_length()))
+    places = lambda column: [F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
+    at = ids.select(F.explode(F.array(*[p + 1 for p in places("doc_id")])).alias("at"))  # Spark's bitmaps count from 1
+    parts = at.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map")).collect()
+    held = np.zeros(bits // 8, np.uint8)
+    for r in parts:
+        held[(r.part - 1) * len(r.map) : r.part * len(r.map)] = np.frombuffer(bytes(r.map), np.uint8)
+    sent = ids.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf(T.BooleanType())
+    def passes(one: pd.Series, two: pd.Series) -> pd.Series:
+        bit = lambda x: (sent.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1
+        return pd.Series((bit(one.to_numpy()) & bit(two.to_numpy())).astype(bool))
+
+    return lambda column: passes(*places(column))
+
+
 def learned(docs: DataFrame, labels: DataFrame) -> Callable[[F.Column], F.Column]:
     """The score of a text, as a column function, learned from the labelled documents of the fold; null text is empty."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    # Labels grow with the documents, so they aren't broadcast at any size.
-    known = staged(rows.filter((fold("doc_id", 3) != 1) & F.col("text").isNotNull()).join(marks.hint("merge"), "doc_id"), "labelled")
+    # Labels grow with the documents, so they aren't broadcast at any size; the texts that go to meet them are mostly labelled ones.
+    texts = rows.filter((fold("doc_id", 3) != 1) & F.col("text").isNotNull())
+    texts = texts.filter(among(marks.select("doc_id").filter(fold("doc_id", 3) != 1))("doc_id"))
+    known = staged(texts.join(marks.hint("merge"), "doc_id"), "labelled")
     lexicon = learn_lexicon(known)
     sent = spark.sparkContext.broadcast(Scorer(lexicon))
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 import zlib
 from collections import defaultdict
 
@@ -220,6 +222,29 @@ def test_copies_count_once_and_other_texts_each(spark):
     assert toxicity.without_copies(labelled).count() == 25 + 5 + 1 + 60
 
 
+def test_labelled_ids_pass_and_few_others(spark):
+    ids = [-(2**63), -7, 0, 2**63 - 1, *range(10, 20_000, 3)]
+    passes = toxicity.among(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
+    asked = spark.createDataFrame([(i,) for i in ids], "doc_id long").unionByName(spark.range(10**6, 10**6 + 20_000).withColumnRenamed("id", "doc_id"))
+    got = [r.doc_id for r in asked.filter(passes("doc_id")).collect()]
+    assert set(ids) <= set(got) and len(got) - len(ids) < 1500
+    assert not asked.filter(toxicity.among(asked.limit(0))("doc_id")).count()
+
+
+def test_toxicity_shuffles_texts_only_for_labelled_ids(spark):
+    """The texts of all documents met the labels; at size they were the largest part of the disk."""
+    sc, text = spark.sparkContext, lambda k: "".join(random.Random(k).choices(string.ascii_letters, k=20_000))
+    docs = spark.createDataFrame([(k, text(k)) for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 40 == 0)) for k in range(0, 400, 20)], "doc_id long, toxic int")
+    sc.setJobGroup("shuffled", "toxicity")
+    toxicity.learned(docs, labels)
+    sc.setJobGroup("", "")
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = {k for job in sc.statusTracker().getJobIdsForGroup("shuffled") for k in sc.statusTracker().getJobInfo(job).stageIds}
+    written = sum(sc._jsc.sc().statusStore().lastStageAttempt(k).shuffleWriteBytes() for k in stages)
+    assert 100_000 < written < 2_000_000
+
+
 def test_blocks_of_markup():
     page = "<head><title>T</title></head><header>Site</header><div class='cookie-notice'>c</div><main><h1>Head</h1><p>One &amp; two<br>three<p>Four <b>bold</b>x</main><footer>F"
     assert [t for z, t in html_text.blocks(page) if z == "body"] == ["Head", "One & two three", "Four boldx"]
